@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import bpe, canon, leaks, looks, residue
+from labelloom.llm import bpe, canon, leaks, looks, places, residue
 from labelloom.session import table
 
 
@@ -45,6 +45,10 @@ def p4_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return unmatched.groupBy("value").agg(F.count(F.lit(1)).alias("n_records"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return places.same_places(table(spark, d, "enterprises"), "record_id", "address_raw")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_column(table(spark, d, "documents"), "doc_id", "text")
 
@@ -62,6 +66,7 @@ QUERIES = {
     "p1_forms": p1_forms,
     "p4_found": p4_found,
     "p4_unmatched": p4_unmatched,
+    "p7_found": p7_found,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p10_found": p10_found,
