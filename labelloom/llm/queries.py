@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import bpe, canon, leaks, looks, places, residue
+from labelloom.llm import bpe, canon, leaks, looks, places, residue, scans
 from labelloom.session import table
 
 
@@ -45,6 +45,15 @@ def p4_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return unmatched.groupBy("value").agg(F.count(F.lit(1)).alias("n_records"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.noisy_records(table(spark, d, "source_alignments"), table(spark, d, "compare_candidates"))
+
+
+def p5_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """The pages as continuous text."""
+    return scans.paragraphs(table(spark, d, "source_alignments"), table(spark, d, "compare_candidates"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return places.same_places(table(spark, d, "enterprises"), "record_id", "address_raw")
 
@@ -66,6 +75,8 @@ QUERIES = {
     "p1_forms": p1_forms,
     "p4_found": p4_found,
     "p4_unmatched": p4_unmatched,
+    "p5_found": p5_found,
+    "p5_paragraphs": p5_paragraphs,
     "p7_found": p7_found,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
