@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 #: Full-width ASCII and the ideographic space, and what they are in half width (a rule, not a list).
@@ -18,10 +19,10 @@ WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
 NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " "
 #: Marks that compare equal.
 MARKS_FROM, MARKS_TO = "。、×X*—–", ".,xxx--"
-SPACE = r"[\s   　﻿]+"
+SPACE = r"[\s\x{00A0}\x{2000}-\x{200A}\x{202F}\x{3000}\x{FEFF}]+"
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Unicode compatibility form; Spark has no built-in for it."""
     return s.map(lambda x: unicodedata.normalize("NFKC", x) if x is not None else None)
@@ -100,7 +101,7 @@ def token_coverage(expected: Column, observed: Column) -> Column:
     return F.try_divide(found.cast("double"), total.cast("double"))
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity with the junk rule for long second texts; not an edit distance."""
     return pd.Series(

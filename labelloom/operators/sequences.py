@@ -7,9 +7,14 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
+def _with_int(df: DataFrame, name: str) -> T.StructType:
+    return T.StructType([*df.schema.fields, T.StructField(name, T.IntegerType())])
+
+
 def exploded_lines(df: DataFrame, keep: list[str], text: str) -> DataFrame:
     """(keep..., ord, line): the lines of a text that are not blank, numbered from 1 among all lines."""
     lines = df.select(*keep, F.posexplode(F.split(F.replace(F.col(text), F.lit("\r"), F.lit("")), "\n")).alias("pos", "line"))
@@ -46,12 +51,17 @@ def asof_marker(df: DataFrame, by: list[str], order: list[str], is_marker: Colum
 def sessions(df: DataFrame, by: list[str], at: str, tie: str, gap_seconds: int, out: str = "session_no") -> DataFrame:
     """Gaps and islands: a new session where the gap to the element before exceeds ``gap_seconds``."""
     w = Window.partitionBy(*by).orderBy(at, tie)
-    gap = F.col(at).cast("double") - F.lag(at).over(w).cast("double")
+    gap = _seconds(F.col(at)) - F.lag(_seconds(F.col(at))).over(w)
     return df.withColumn("__new", F.when(gap.isNull() | (gap > gap_seconds), 1).otherwise(0)).withColumn(
         out, F.sum("__new").over(w)
     ).drop("__new")
 
 
+def _seconds(c: Column) -> Column:
+    """Seconds since the epoch of a timestamp with or without zone."""
+    return c.cast("timestamp").cast("double")
+
+
 def sliding_frames(df: DataFrame, by: list[str], order: str, text: str, shortest: int = 2, longest: int = 4, glue: str = "") -> DataFrame:
     """(by..., first, n_lines, text): all runs of ``shortest`` to ``longest`` consecutive elements."""
     w = Window.partitionBy(*by).orderBy(order)
@@ -94,7 +104,7 @@ def packed_chunks(df: DataFrame, by: list[str], order: str, size: str, most_item
 
     Each element depends on where the chunk before it ended, so a group is streamed in order through Python.
     """
-    schema = df.schema.add("chunk_no", "int")
+    schema = _with_int(df, "chunk_no")
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, chunk, items, held = None, 0, 0, 0
@@ -115,7 +125,7 @@ def packed_chunks(df: DataFrame, by: list[str], order: str, size: str, most_item
 
 def mean_clusters(df: DataFrame, by: list[str], value: str, order: str, tolerance: float, out: str = "cluster_no") -> DataFrame:
     """``df`` with clusters along one axis: an element joins the last cluster if it lies near its running mean."""
-    schema = df.schema.add(out, "int")
+    schema = _with_int(df, out)
 
     def cluster(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, no, total, n = None, 0, 0.0, 0
