@@ -145,8 +145,8 @@ class LeakFinder:
 def myers_reach(pattern: str, text: str, most: int) -> list[int]:
     """For each n the least edits between the first n letters of ``pattern`` and some beginning of ``text``.
 
-    Bit-parallel columns over ``text`` (both ends anchored at the start); stops once every value near the diagonal
-    exceeds ``most``, so the list covers the letters that can be reached.
+    Bit-parallel columns over ``text`` (both ends anchored at the start); stops once every value exceeds ``most``, so
+    the list covers the letters that can be reached.
     """
     m = len(pattern)
     out = [0]
@@ -158,7 +158,6 @@ def myers_reach(pattern: str, text: str, most: int) -> list[int]:
     full = (1 << m) - 1
     vp, vn = full, 0
     least = list(range(1, m + 1))  # column 0: n deletions
-    shift = 0  # of the best row against the diagonal
     for j, ch in enumerate(text, 1):
         eq = peq.get(ch, 0)
         x = eq | vn
@@ -169,22 +168,23 @@ def myers_reach(pattern: str, text: str, most: int) -> list[int]:
         hn = (hn << 1) & full
         vp = (hn | ~(d0 | hp)) & full
         vn = hp & d0
-        # values of the rows around the best one: D[i] = j + sum of the vertical differences above
-        low = max(0, j + shift - 3)
+        # a value of at most `most` lies within `most` rows of the diagonal: D[i] = j + vertical differences above
+        low = max(0, j - 1 - most)
         if low >= m:
             break
         mask = (1 << low) - 1
         value = j + (vp & mask).bit_count() - (vn & mask).bit_count()
-        top, nearest = None, shift
-        for i in range(low, min(m, j + shift + 4)):
-            value += (vp >> i & 1) - (vn >> i & 1)
+        plus, minus, top = vp >> low, vn >> low, most + 1
+        for i in range(low, min(m, j + most)):
+            value += (plus & 1) - (minus & 1)
+            plus >>= 1
+            minus >>= 1
             if value < least[i]:
                 least[i] = value
-            if top is None or value < top or (value == top and abs(i + 1 - j - shift) < abs(nearest - shift)):
-                top, nearest = value, i + 1 - j
-        if top is not None and top > most:
+            if value < top:
+                top = value
+        if top > most:
             break
-        shift = max(shift - 1, min(shift + 1, nearest))
     for v in least:
         if v > most:
             break

@@ -135,7 +135,7 @@ def _units(t: str) -> bool:
     while at < len(t):
         m = _FILLER_UNIT.match(t, at)
         if not m:
-            return len(t) - at < 6 and at > 12  # a last unit may be cut
+            return 6 <= at and t.startswith(t[at:])  # a last unit may be cut
         at = m.end()
     return True
 
