@@ -57,7 +57,7 @@ cands AS (SELECT candidate_id, target_id, min(text) AS text, min(score) AS score
 @query(r"""SELECT doc_id, CAST(i AS INT) AS ord, line FROM (
   SELECT doc_id, unnest(string_split(replace(text, chr(13), ''), chr(10))) AS line,
          generate_subscripts(string_split(replace(text, chr(13), ''), chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL)
-  WHERE trim(line) <> ''""")
+  WHERE trim(line, ' ') <> ''""")
 def line_scan(spark, d):
     return sequences.exploded_lines(table(spark, d, "documents"), ["doc_id"], "text")
 
