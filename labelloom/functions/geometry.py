@@ -28,7 +28,9 @@ def overlap_area(a: Column, b: Column) -> Column:
     """Area that two page boxes share; 0 if either is missing."""
     w = F.least(a["x"] + a["width"], b["x"] + b["width"]) - F.greatest(a["x"], b["x"])
     h = F.least(a["y"] + a["height"], b["y"] + b["height"]) - F.greatest(a["y"], b["y"])
-    return F.coalesce(F.greatest(w, F.lit(0.0)) * F.greatest(h, F.lit(0.0)), F.lit(0.0))
+    # least and greatest pass over nulls, so a missing box is asked for first
+    both = a.isNotNull() & b.isNotNull()
+    return F.coalesce(F.when(both, F.greatest(w, F.lit(0.0)) * F.greatest(h, F.lit(0.0))), F.lit(0.0))
 
 
 def overlap_ratio(a: Column, b: Column) -> Column:
@@ -47,7 +49,8 @@ def same_visual_line(a: Column, b: Column, share: float = 0.45) -> Column:
     """Whether two boxes overlap vertically by ``share`` of the smaller height, and horizontally at all."""
     v = F.least(a["y"] + a["height"], b["y"] + b["height"]) - F.greatest(a["y"], b["y"])
     h = F.least(a["x"] + a["width"], b["x"] + b["width"]) - F.greatest(a["x"], b["x"])
-    return F.coalesce((v >= F.least(a["height"], b["height"]) * share) & (h > 0), F.lit(False))
+    both = a.isNotNull() & b.isNotNull()
+    return both & F.coalesce((v >= F.least(a["height"], b["height"]) * share) & (h > 0), F.lit(False))
 
 
 def box_violations(box: Column) -> Column:

@@ -15,7 +15,7 @@ def first_of_each(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
 
 def except_by(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
     """Rows of ``left`` whose signature does not occur in ``right``."""
-    return left.join(right.select(*by).distinct(), by, "left_anti")
+    return left.join(right.select(*by).distinct(), by, "left_anti").select(*left.columns)
 
 
 def union_first_wins(frames: list[DataFrame], by: list[str], order: list[str]) -> DataFrame:
