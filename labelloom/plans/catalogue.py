@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from labelloom.functions import geometry as geo
 from labelloom.functions import text as tx
 from labelloom.functions import values as val
-from labelloom.operators import compare, fusion, graph, metrics, quality, sequences, sets
+from labelloom.operators import compare, fusion, graph, metrics, quality, sequences, sets, vectors
 from labelloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -421,11 +421,16 @@ def approx_users(spark, d):
     return e.groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("about"), F.count_distinct("user_id").alias("exact"))
 
 
-@query("""SELECT job_id, sha256(string_agg(t, chr(10) ORDER BY t)) AS state_hash FROM (SELECT DISTINCT job_id, semantic_key || '=' || text AS t FROM standard_items WHERE semantic_key IS NOT NULL AND text IS NOT NULL) GROUP BY 1""")
+@query("""WITH t AS (SELECT DISTINCT job_id, semantic_key || '=' || text AS t FROM standard_items WHERE semantic_key IS NOT NULL AND text IS NOT NULL),
+  b AS (SELECT job_id, substr(sha256(t), 1, 3) AS bucket, sha256(string_agg(t, chr(10) ORDER BY t)) AS h FROM t GROUP BY 1, 2)
+  SELECT job_id, sha256(string_agg(bucket || h, chr(10) ORDER BY bucket)) AS state_hash FROM b GROUP BY 1""")
 def state_hash(spark, d):
+    """A hash of each job's values, whatever their order; built by buckets, so that no job is gathered in one piece."""
     s = table(spark, d, "standard_items").where(F.col("semantic_key").isNotNull() & F.col("text").isNotNull())
     one = s.select("job_id", F.concat_ws("=", "semantic_key", "text").alias("t")).distinct()
-    return one.groupBy("job_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("t")), "\n"), 256).alias("state_hash"))
+    joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n"), 256)
+    buckets = one.groupBy("job_id", F.substring(F.sha2("t", 256), 1, 3).alias("bucket")).agg(joined(F.col("t")).alias("h"))
+    return buckets.groupBy("job_id").agg(joined(F.concat("bucket", "h")).alias("state_hash"))  # 4096 buckets at most
 
 
 # -- scalar functions on columns
@@ -525,17 +530,13 @@ def table_refs(spark, d):
     return c.select("content_row_id", F.explode(F.split("nutrition_table_no", r"[,，、;；/\s]+")).alias("ref")).where(F.trim("ref") != "").select("content_row_id", F.trim("ref").alias("ref")).distinct()
 
 
-@query()
-def vec_nearest_class(spark, d):
-    """The class whose mean vector each vector is most similar to: an arg-max against a few means."""
+@query("""SELECT query_id, match_id FROM (SELECT q.vec_id AS query_id, v.vec_id AS match_id, row_number() OVER (PARTITION BY q.vec_id
+  ORDER BY list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) DESC, v.vec_id) AS rn
+  FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0) WHERE rn = 1""")
+def vec_top1(spark, d):
+    """The stated query set (ids divisible by 100) against all vectors."""
     e = table(spark, d, "embeddings")
-    flat = e.select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
-    means = flat.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mean"))
-    listed = means.agg(F.array_sort(F.collect_list(F.struct("label", "mean"))).alias("means"))  # one row per class
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda acc, x: acc + x)
-    scored = e.select("vec_id", "embedding", F.lit(1).alias("k")).join(F.broadcast(listed.withColumn("k", F.lit(1))), "k")
-    best = F.array_max(F.transform("means", lambda s: F.struct(F.round(dot(F.col("embedding"), s["mean"]), 9).alias("s"), (-s["label"]).alias("n"))))
-    return scored.select("vec_id", (-best["n"]).alias("nearest"))
+    return vectors.top1(e, "vec_id", "embedding", e.where(F.col("vec_id") % 100 == 0))
 
 
 # -- checks, graph, star joins
