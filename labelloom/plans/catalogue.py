@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from labelloom.functions import geometry as geo
 from labelloom.functions import text as tx
 from labelloom.functions import values as val
-from labelloom.operators import compare, fusion, graph, metrics, quality, sequences, sets, vectors
+from labelloom.operators import compare, fusion, graph, grounding, layout, metrics, quality, sequences, sets, vectors
 from labelloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -654,3 +654,88 @@ def star_join(spark, d):
     return j.groupBy("r_name", "n_name", "o_orderpriority").agg(
         F.count(F.lit(1)).alias("n_lines"), F.count_distinct("o_orderkey").alias("n_orders"), F.sum("l_linenumber").alias("sum_lines")
     )
+
+
+# -- proposals, scores, discovery, multisets
+
+
+@query(rf"""WITH {_FIRST_ITEMS}, ev AS (SELECT evidence_id, min(source_text) AS t FROM evidence_items WHERE evidence_id IS NOT NULL GROUP BY 1),
+  named AS (SELECT id, text, unnest(evidence_refs) AS sid, generate_subscripts(evidence_refs, 1) AS n FROM first_items),
+  met AS (SELECT f.id, f.text, count(m.sid) AS n_named, count(*) FILTER (m.sid IS NOT NULL AND e.t IS NULL) AS n_unknown, string_agg(e.t, '' ORDER BY m.n) AS whole
+    FROM first_items f LEFT JOIN named m ON m.id = f.id LEFT JOIN ev e ON e.evidence_id = m.sid GROUP BY 1, 2)
+  SELECT id AS item_id, CASE WHEN trim(coalesce(text, ''), ' ') = '' THEN 'empty_text' WHEN n_named = 0 THEN 'no_source' WHEN n_unknown > 0 THEN 'unknown_source'
+    WHEN NOT contains(lower(regexp_replace(coalesce(whole, ''), '[\s\p{{P}}\p{{S}}]+', '', 'g')), lower(regexp_replace(text, '[\s\p{{P}}\p{{S}}]+', '', 'g'))) THEN 'not_in_source' ELSE 'kept' END AS result FROM met""")
+def grounded_items(spark, d):
+    items = sequences.keep_best(table(spark, d, "standard_items").where(F.col("id").isNotNull()), ["id"], [F.col("ingested_at"), F.col("text")])
+    sources = table(spark, d, "evidence_items").where(F.col("evidence_id").isNotNull()).groupBy(F.col("evidence_id").alias("source_id")).agg(F.min("source_text").alias("text"))
+    kept, rejected = grounding.grounded(items.select(F.col("id").alias("item_id"), "text", F.col("evidence_refs").alias("source_ids")), sources)
+    return kept.select("item_id", F.lit("kept").alias("result")).unionAll(rejected.select("item_id", "reason"))
+
+
+@query("""WITH i AS (SELECT DISTINCT job_id, id, unnest(source_ids) AS x FROM standard_items), v AS (SELECT DISTINCT job_id, evidence_id, unnest(source_node_ids) AS x FROM evidence_items),
+  ni AS (SELECT job_id, id, count(DISTINCT x) AS n FROM i GROUP BY 1, 2), nv AS (SELECT job_id, evidence_id, count(DISTINCT x) AS n FROM v GROUP BY 1, 2)
+  SELECT job_id, id, evidence_id, n_common FROM (SELECT i.job_id, i.id, v.evidence_id, count(*) AS n_common FROM i JOIN v ON i.job_id = v.job_id AND i.x = v.x GROUP BY 1, 2, 3)
+  JOIN ni USING (job_id, id) JOIN nv USING (job_id, evidence_id) WHERE n_common >= least(ni.n, nv.n) * 0.5""")
+def overlapping_sources(spark, d):
+    """Items and evidence of a job that share half of the smaller set of sources."""
+    one = lambda t, key, ids: table(spark, d, t).select("job_id", key, F.explode(ids).alias("x")).where(F.col("x").isNotNull()).groupBy("job_id", key).agg(F.collect_set("x").alias(ids))
+    return grounding.overlapping_sets(one("standard_items", "id", "source_ids"), one("evidence_items", "evidence_id", "source_node_ids"), ["job_id"], "id", "source_ids", "evidence_id", "source_node_ids", 0.5)
+
+
+@query("""SELECT job_id, CAST(sum(CASE WHEN text_similarity < 0.8 THEN 100 WHEN text_similarity < 0.95 THEN 10 WHEN text_relation <> 'equivalent' THEN 1 ELSE 0 END) AS BIGINT) AS score
+  FROM (SELECT DISTINCT job_id, alignment_id, text_similarity, text_relation FROM source_alignments) GROUP BY 1""")
+def finding_scores(spark, d):
+    a = table(spark, d, "source_alignments").select("job_id", "alignment_id", "text_similarity", "text_relation").distinct()
+    level = F.when(F.col("text_similarity") < 0.8, "high").when(F.col("text_similarity") < 0.95, "medium").when(F.col("text_relation") != "equivalent", "low").otherwise("info")
+    return metrics.weighted_findings(a.withColumn("level", level), ["job_id"], "level")
+
+
+_PATTERNS = {"product.name": "产品名称|Product", "product.net_content": "净含量|Net Wt", "product.shelf_life": "保质期", "product.storage_condition": "贮存条件|Storage", "product.origin": "产地|Origin"}
+
+
+@query("WITH h AS (" + " UNION ALL ".join(f"SELECT job_id, ord, span_id, '{k}' AS semantic_key FROM text_spans WHERE regexp_matches(text, '{p}')" for k, p in _PATTERNS.items())
+       + ") SELECT job_id, semantic_key, span_id, ord FROM (SELECT *, row_number() OVER (PARTITION BY job_id, semantic_key ORDER BY ord, span_id) AS rn FROM h) WHERE rn = 1")
+def schema_discovery(spark, d):
+    """The first span of each job that shows a field: the fields that the document has."""
+    return layout.first_matches(table(spark, d, "text_spans"), ["job_id"], "ord", "text", _PATTERNS)
+
+
+@query(r"""SELECT doc_id, sha256(trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(text, '<[^>]*>', ' ', 'g'),
+  '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '(?m)^\s*#{1,6}\s+', '', 'g'), '\*\*|__|`', '', 'g'), '\\geq?\b', '≥', 'g'), '\\leq?\b', '≤', 'g'), '\%', '%'), '\s+', ' ', 'g'), ' ')) AS clean_hash
+  FROM documents WHERE text IS NOT NULL""")
+def markup_strip(spark, d):
+    docs = table(spark, d, "documents").where(F.col("text").isNotNull())
+    return docs.select("doc_id", F.sha2(tx.without_markup(F.col("text")), 256).alias("clean_hash"))
+
+
+@query("""SELECT label, count(*) AS n FROM (SELECT label_item AS label FROM main_labels WHERE label_item IS NOT NULL INTERSECT ALL SELECT label FROM standard_items WHERE label IS NOT NULL) GROUP BY 1""")
+def label_intersect_all(spark, d):
+    a = table(spark, d, "main_labels").where(F.col("label_item").isNotNull()).select(F.col("label_item").alias("label"))
+    b = table(spark, d, "standard_items").where(F.col("label").isNotNull()).select("label")
+    return a.intersectAll(b).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS starts, event_type, count(*) AS n, count(DISTINCT user_id) AS n_users FROM events GROUP BY 1, 2""")
+def tumbling_counts(spark, d):
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    g = e.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("n_users"))
+    return g.select(F.col("w.start").cast("timestamp_ntz").alias("starts"), "event_type", "n", "n_users")
+
+
+@query(r"""SELECT DISTINCT file_name, lower(regexp_replace(regexp_replace(file_name, '[^0-9A-Za-z一-鿿]+', '_', 'g'), '^_+|_+$', '', 'g')) AS slug FROM text_spans WHERE file_name IS NOT NULL""")
+def file_slugs(spark, d):
+    return table(spark, d, "text_spans").where(F.col("file_name").isNotNull()).select("file_name", tx.slug(F.col("file_name")).alias("slug")).distinct()
+
+
+@query()
+def label_segments(spark, d):
+    """Lines of evidence cut at every known label."""
+    ev = table(spark, d, "evidence_items").where(F.col("evidence_id").isNotNull()).groupBy("evidence_id").agg(F.min("source_text").alias("text"))
+    return layout.label_segments(ev, ["evidence_id"], "text", ["产品名称", "净含量", "保质期", "贮存条件", "产地", "配料", "规格", "商标", "警示语", "食用方法", "营养成分", "质量等级", "Product", "Net Wt.", "Storage", "Origin", "Energy"])
+
+
+@query()
+def visual_rows(spark, d):
+    """Spans of a page gathered to rows by the first span of each."""
+    s = table(spark, d, "text_spans").where(F.col("bbox_pdf").isNotNull()).select("job_id", "page", "span_id", F.col("bbox_pdf.x").alias("x"), F.col("bbox_pdf.y").alias("y")).distinct()
+    return layout.rows_by_first(s, ["job_id", "page"], 6.0).select("span_id", "row_no")
