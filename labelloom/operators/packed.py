@@ -122,7 +122,7 @@ def clean(piece: str, last: bool = False) -> str:
     """A value without white space around, the list's full stop and outer quotation marks."""
     p = piece.strip()
     if last:
-        p = re.sub(r"[。.]+$", "", p).strip() if not re.fullmatch(r".*\b[A-Z]\.", p) else p
+        p = re.sub(r"[。.]+$", "", p).strip()
     if len(p) > 1 and p[0] == '"' and p[-1] == '"' and _quoted_end(p, 0) == len(p):
         p = p[1:-1].replace('""', '"').strip()
     elif len(p) > 1 and p[0] + p[-1] in ("“”", "「」", "『』", "‘’") and p.find(p[-1]) == len(p) - 1:

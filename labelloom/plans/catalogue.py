@@ -471,13 +471,16 @@ def page_hulls(spark, d):
     return table(spark, d, "text_spans").where(F.col("bbox_pdf").isNotNull()).groupBy("job_id", "page").agg(*geo.hull("bbox_pdf"))
 
 
-@query()
+@query("""WITH s AS (SELECT DISTINCT job_id, page, span_id, source, bbox_pdf.x AS x, bbox_pdf.y AS y, bbox_pdf.width AS w, bbox_pdf.height AS h FROM text_spans WHERE bbox_pdf IS NOT NULL),
+  o AS (SELECT l.job_id, l.page, l.span_id AS line_id, p.span_id, round(greatest(least(l.x + l.w, p.x + p.w) - greatest(l.x, p.x), 0) * greatest(least(l.y + l.h, p.y + p.h) - greatest(l.y, p.y), 0)
+    / least(greatest(l.w * l.h, 1), greatest(p.w * p.h, 1)), 4) AS r FROM s l JOIN s p ON l.job_id = p.job_id AND l.page = p.page AND l.source = 'ocr' AND p.source <> 'ocr' WHERE l.w >= 0 AND l.h >= 0 AND p.w >= 0 AND p.h >= 0)
+  SELECT job_id, page, line_id, span_id FROM (SELECT *, row_number() OVER (PARTITION BY job_id, page, line_id ORDER BY r DESC, span_id DESC) AS rn FROM o WHERE r >= 0.2) WHERE rn = 1""")
 def box_overlaps(spark, d):
     """For every box the other box of its page that it overlaps most, by a grid join."""
     s = table(spark, d, "text_spans").where(F.col("bbox_pdf").isNotNull()).select("job_id", "page", "span_id", "source", F.col("bbox_pdf").alias("bbox")).distinct()
     lines = s.where(F.col("source") == "ocr").select("job_id", "page", F.col("span_id").alias("line_id"), F.col("bbox").alias("box"))
     spans = s.where(F.col("source") != "ocr").select("job_id", "page", "span_id", "bbox")
-    return fusion.best_overlap(lines, spans, ["job_id", "page"])
+    return fusion.best_overlap(lines, spans, ["job_id", "page"]).drop("overlap")
 
 
 @query("""SELECT source, count(*) AS n_spans, count(*) FILTER (bbox_pdf IS NOT NULL) AS n_with_box, count(*) FILTER (trim(coalesce(text, '')) = '') AS n_blank,
@@ -618,7 +621,14 @@ def graph_edges(spark, d):
     return graph.degree_counts(edges)
 
 
-@query()
+@query("""WITH s AS (SELECT DISTINCT span_id, job_id, page, ord FROM text_spans WHERE span_id IS NOT NULL),
+  e AS (SELECT DISTINCT * FROM (
+  SELECT concat_ws('#', job_id, CAST(page AS VARCHAR)) AS source, span_id AS target, 'contains' AS edge_type FROM s
+  UNION ALL SELECT span_id, lead(span_id) OVER (PARTITION BY job_id, page ORDER BY ord, span_id), 'reading_order' FROM s
+  UNION ALL SELECT unnest(source_node_ids), evidence_id, 'supports' FROM evidence_items
+  UNION ALL SELECT id, unnest(evidence_refs), 'cites' FROM standard_items) WHERE source IS NOT NULL AND target IS NOT NULL),
+  n AS (SELECT concat_ws('#', job_id, CAST(page AS VARCHAR)) AS i FROM s UNION SELECT span_id FROM s UNION SELECT evidence_id FROM evidence_items WHERE evidence_id IS NOT NULL UNION SELECT id FROM standard_items WHERE id IS NOT NULL)
+  SELECT source, target, edge_type FROM e WHERE NOT EXISTS (SELECT 1 FROM n WHERE i = source) OR NOT EXISTS (SELECT 1 FROM n WHERE i = target)""")
 def graph_unresolved(spark, d):
     nodes, edges = graph.nodes_and_edges(table(spark, d, "text_spans"), table(spark, d, "evidence_items"), table(spark, d, "standard_items"))
     return graph.unresolved_edges(nodes, edges)
