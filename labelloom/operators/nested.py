@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labelloom.session import spread
+
 KINDS = ("table", "row", "cell", "cell_ref", "evidence", "node", "entity", "field", "field_ref", "requirement")
 NODE_SCHEMA = "job_id string, node_kind string, parent_key string, child_key string, payload string"
 
@@ -178,7 +180,7 @@ def nested_nodes(results: DataFrame, payloads: bool = True) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in out], schema=kind)
 
     rows = results.where(F.col("job_id").isNotNull()).select("job_id", "tables_json", "evidence_json", "extracted_json")
-    return rows.mapInArrow(emit, NODE_SCHEMA)
+    return spread(rows).mapInArrow(emit, NODE_SCHEMA)
 
 
 def nested_links(results: DataFrame) -> DataFrame:
