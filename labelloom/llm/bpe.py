@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labelloom.session import spread
+
 #: UTF-8 bytes encoded at once, which bounds a worker's memory.
 BLOCK_BYTES = 3_000_000
 #: Folder of the tokenizer files; None asks the installed vocabulary package.
@@ -198,4 +200,4 @@ def encode_column(df: DataFrame, key: str, text: str, vocabulary: str = "byte_bp
                 at = to
 
     kind = df.schema[key].dataType.simpleString()
-    return df.where(F.col(key).isNotNull()).select(key, text).mapInArrow(run, f"{key} {kind}, ids array<int>")
+    return spread(df.where(F.col(key).isNotNull()).select(key, text)).mapInArrow(run, f"{key} {kind}, ids array<int>")

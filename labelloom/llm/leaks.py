@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labelloom.session import spread
+
 #: Items beyond this many letters in all are not sent to the executors.
 MAX_LETTERS = 20_000_000
 #: Part of an item that must stand in one piece, and letters per error.
@@ -220,9 +222,5 @@ def leaking_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
                     found.append(item)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.int64())], names=["doc_id", "item_id"])
 
-    return (
-        docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-        .select("doc_id", "text")
-        .mapInArrow(find, "doc_id long, item_id long")
-        .distinct()
-    )
+    texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
+    return spread(texts).mapInArrow(find, "doc_id long, item_id long").distinct()

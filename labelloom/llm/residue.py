@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labelloom.session import spread
+
 #: Levels of the prefix tree below the token count.
 DEPTH = 4
 #: Templates that a worker remembers; the tree is mined anew beyond that, which changes no verdict.
@@ -195,9 +197,5 @@ def residue_documents(docs: DataFrame) -> DataFrame:
             hit = [is_residue(t.as_py(), tree) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(hit, pa.bool_()))], names=["doc_id"])
 
-    return (
-        docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-        .select("doc_id", "text")
-        .mapInArrow(find, "doc_id long")
-        .distinct()
-    )
+    texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
+    return spread(texts).mapInArrow(find, "doc_id long").distinct()
