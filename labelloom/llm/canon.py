@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 #: A reference list larger than this is not sent to the executors.
 MAX_ENTRIES = 100_000
-#: Mentions must cover this share of a value's letters.
-MENTION_SHARE = 0.5
+#: Mentions that cover this share of a value's letters decide it; where no entry is similar, this share is enough.
+MENTION_SHARE, LEAST_MENTION_SHARE = 0.75, 0.5
 #: Distinct values that a worker remembers.
 REMEMBERED = 200_000
 #: Entries compared by edit distance per value, those with most pairs in common and all that tie with the last.
@@ -102,11 +102,10 @@ class Canon:
             return 0
         if t in self.names:
             return self.names[t]
-        near = self._nearest(t)
-        return near or self._mentioned(t)
+        return self._mentioned(t, MENTION_SHARE) or self._nearest(t) or self._mentioned(t, LEAST_MENTION_SHARE)
 
-    def _mentioned(self, t: str) -> int:
-        """The entry whose mentions cover most letters, if all mentions cover enough of the value."""
+    def _mentioned(self, t: str, share: float) -> int:
+        """The entry whose mentions cover most letters, if all mentions cover ``share`` of the value."""
         found = sorted(((n, end - n + 1, e) for end, (n, e) in self.automaton.iter(t)), key=lambda x: (-x[0], x[1]))
         used = [False] * len(t)
         cover: Counter = Counter()
@@ -114,7 +113,7 @@ class Canon:
             if not any(used[start : start + n]):
                 used[start : start + n] = [True] * n
                 cover[e] += n
-        if not cover or sum(used) < MENTION_SHARE * len(t):
+        if not cover or sum(used) < share * len(t):
             return 0
         return max(cover, key=lambda e: cover[e])
 
