@@ -203,7 +203,9 @@ def same_look_pairs(rows: DataFrame, groups: list[str], key: str, text: str, hot
     )
     for g in groups:
         base = base.where(F.col(g).isNotNull())
-    looks = with_look(base, "txt").where(F.length(F.trim("look")) > 0)
+    # from here on texts are only compared, so their 128-bit digests travel in their place
+    digest = lambda c: F.unhex(F.md5(c)).alias(c)
+    looks = with_look(base, "txt").where(F.length(F.trim("look")) > 0).select(*groups, "id", digest("txt"), digest("look"))
     by = [*groups, "look"]
     # Hot looks are known only after counting; the count is combined map-side and never larger than the distinct looks.
     ways = looks.groupBy(*by).agg(F.min("txt").alias("lo"), F.max("txt").alias("hi"), F.count(F.lit(1)).alias("n"))
