@@ -75,7 +75,7 @@ def without_markup(c: Column) -> Column:
     t = F.regexp_replace(c, r"<[^>]*>", " ")
     for entity, ch in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
         t = F.replace(t, F.lit(entity), F.lit(ch))
-    t = F.regexp_replace(t, r"(?m)^\s*#{1,6}\s+", "")
+    t = F.regexp_replace(t, r"(?md)^\s*#{1,6}\s+", "")
     t = F.regexp_replace(t, r"\*\*|__|`", "")
     t = F.regexp_replace(t, r"\\geq?\b", "≥")
     t = F.regexp_replace(t, r"\\leq?\b", "≤")

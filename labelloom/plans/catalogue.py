@@ -711,7 +711,7 @@ def schema_discovery(spark, d):
 
 
 @query(r"""SELECT doc_id, sha256(trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(text, '<[^>]*>', ' ', 'g'),
-  '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '(?m)^\s*#{1,6}\s+', '', 'g'), '\*\*|__|`', '', 'g'), '\\geq?\b', '≥', 'g'), '\\leq?\b', '≤', 'g'), '\%', '%'), '\s+', ' ', 'g'), ' ')) AS clean_hash
+  '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '(?m)^[\s\x0b]*#{1,6}[\s\x0b]+', '', 'g'), '\*\*|__|`', '', 'g'), '\\geq?\b', '≥', 'g'), '\\leq?\b', '≤', 'g'), '\%', '%'), '[\s\x0b]+', ' ', 'g'), ' ')) AS clean_hash
   FROM documents WHERE text IS NOT NULL""")
 def markup_strip(spark, d):
     docs = table(spark, d, "documents").where(F.col("text").isNotNull())
