@@ -374,47 +374,55 @@ def _street_ids(places: DataFrame) -> DataFrame:
     """(city, kind, number, street, street_id): the spelling that each spelling of a locality stands for.
 
     A doubtful spelling takes the best supported neighbour with the same house number, else the best supported one of
-    the locality. Doubtful is what is no sequence of syllables, or an English spelling that occurs once only.
+    the locality. Doubtful is what is no sequence of syllables, or an English spelling that occurs once only. Neighbours
+    are found among the streets of a locality, whatever their number of houses, by what both spellings have in common.
     """
-    at = ["city", "kind", "number", "street"]
-    spellings = places.groupBy(*at).agg(
+    spellings = places.groupBy("city", "kind", "number", "street").agg(
         F.count(F.lit(1)).alias("n"), F.max("sound").alias("sound"), F.max(F.col("raw").rlike("[一-鿿]")).alias("zh")
     )
-    keyed_type = "city string, kind string, number string, street string, n long, sound boolean, zh boolean, k string"
+    doubtful = ~F.col("sound") | (~F.col("zh") & (F.col("n") == 1))
+    odd = spellings.where(doubtful).groupBy("city", "kind", "street").agg(F.max("sound").alias("sound"), F.lit(0).cast("long").alias("n"))
+    good = spellings.where("sound").groupBy("city", "kind", "street").agg(F.max("sound").alias("sound"), F.sum("n").alias("n"))
+    met = (
+        _keyed(odd).select("city", "kind", "k", F.col("street").alias("odd"), F.col("sound").alias("odd_sound"))
+        .join(_keyed(good).select("city", "kind", "k", F.col("street").alias("to"), F.col("n").alias("to_n")), ["city", "kind", "k"])
+        # a sound spelling is mended only by a letter, not by a syllable, which makes another name
+        .where((F.col("odd") != F.col("to")) & ~(F.col("odd_sound") & F.col("k").contains("*")))
+        .select("city", "kind", "odd", "odd_sound", "to", "to_n")
+        .distinct()
+    )
+    housed = spellings.where("sound").select("city", "kind", "number", F.col("street").alias("to"), F.col("n").alias("here"))
+    near = (
+        spellings.where(doubtful).select("city", "kind", "number", F.col("street").alias("odd"))
+        .join(met, ["city", "kind", "odd"])
+        .join(housed, ["city", "kind", "number", "to"])
+        .where(~F.col("odd_sound") | (F.col("here") > 1))
+        .groupBy("city", "kind", "number", "odd")
+        .agg(F.max_by("to", F.struct("here", "to")).alias("near"))
+    )
+    wide = met.where(~F.col("odd_sound")).groupBy("city", "kind", "odd").agg(F.max_by("to", F.struct("to_n", "to")).alias("wide"))
+    return (
+        spellings.select("city", "kind", "number", "street", F.col("street").alias("odd"))
+        .join(near, ["city", "kind", "number", "odd"], "left")
+        .join(wide, ["city", "kind", "odd"], "left")
+        .select("city", "kind", "number", "street", F.coalesce("near", "wide", "street").alias("street_id"))
+    )
+
+
+def _keyed(streets: DataFrame) -> DataFrame:
+    """``streets`` (city, kind, street, sound, n), a row for each key of the spelling in ``k``."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            many = [_keys(s) for s in b.column(3).to_pylist()]
+            many = [_keys(s) for s in b.column(2).to_pylist()]
             rows = pa.array([i for i, ks in enumerate(many) for _ in ks], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [*(c.take(rows) for c in b.columns), pa.array([k for ks in many for k in ks], pa.string())],
                 names=[*b.schema.names, "k"],
             )
 
-    keyed = spellings.mapInArrow(keys, keyed_type)
-    odd = keyed.where(~F.col("sound") | (~F.col("zh") & (F.col("n") == 1))).select(
-        "city", "kind", "number", "k", F.col("street").alias("odd"), F.col("sound").alias("odd_sound")
-    )
-    good = keyed.where("sound").select("city", "kind", "number", "k", "street", "n")
-    near = (
-        odd.join(good, ["city", "kind", "number", "k"])
-        .where((F.col("odd") != F.col("street")) & (~F.col("odd_sound") | (F.col("n") > 1)) & ~(F.col("odd_sound") & F.col("k").contains("*")))
-        .groupBy("city", "kind", "number", "odd")
-        .agg(F.max_by("street", F.struct("n", "street")).alias("near"))
-    )
-    streets = good.groupBy("city", "kind", "k", "street").agg(F.sum("n").alias("n"))
-    wide = (
-        odd.where(~F.col("odd_sound")).select("city", "kind", "k", "odd").distinct()
-        .join(streets, ["city", "kind", "k"])
-        .groupBy("city", "kind", "odd")
-        .agg(F.max_by("street", F.struct("n", "street")).alias("wide"))
-    )
-    return (
-        spellings.select(*at, F.col("street").alias("odd"))
-        .join(near, ["city", "kind", "number", "odd"], "left")
-        .join(wide, ["city", "kind", "odd"], "left")
-        .select(*at, F.coalesce("near", "wide", "street").alias("street_id"))
-    )
+    one = streets.select("city", "kind", "street", "sound", "n")
+    return one.mapInArrow(keys, "city string, kind string, street string, sound boolean, n long, k string")
 
 
 def _pairs(base: DataFrame, keyed: DataFrame, hot_rows: int = 2_000) -> DataFrame:
