@@ -49,7 +49,7 @@ _NO_LETTER = re.compile(r"[\W_]+")
 
 def letters(text: str) -> str:
     """The letters that are compared: one width, lower case, simplified, without numbering, remarks and punctuation."""
-    t = unicodedata.normalize("NFKC", text).casefold().translate(_SIMPLE)
+    t = " ".join(unicodedata.normalize("NFKC", text).casefold().translate(_SIMPLE).split())
     return _NO_LETTER.sub("", _REMARK.sub("", _NUMBERING.sub("", t)))
 
 

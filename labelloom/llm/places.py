@@ -34,6 +34,8 @@ from labelloom.session import checkpointed
 MAX_ADMIN = 500_000
 #: A name must be marked with its level in so many records, and in this share of those that name it.
 ADMIN_SUPPORT = 2
+#: Brackets within brackets are taken out to this depth.
+NESTED = 8
 #: Readings of an address that are kept while it is read.
 BEAM = 12
 
@@ -58,15 +60,15 @@ _DIGIT = {c: str(i) for i, c in enumerate("零一二三四五六七八九")} | {
 
 _HEAD = re.compile(r"^\s*(?:(?:生产|注册|经营|公司|工厂|通讯|联系)?(?:地址|厂址|住所)|(?:manufacturer )?address|addr)\s*[:：]\s*", re.I)
 _BRACKETS = re.compile(r"[(\[【][^()\[\]【】]*[)\]】]")
-_POSTCODE = re.compile(r"[,，\s]*(?:P\.?\s?C\.?|post ?code|zip(?: code)?|邮编|邮政编码)\s*[:：]?\s*\d{6}|(?:^|(?<=[,，\s]))\d{6}(?=$|[,，\s])", re.I)
+_POSTCODE = re.compile(r"[,，\s]{0,3}(?:P\.?\s?C\.?|post ?code|zip(?: code)?|邮编|邮政编码)\s*[:：]?\s*\d{6}|(?:^|(?<=[,，\s]))\d{6}(?=$|[,，\s])", re.I)
 _ZH_NUM = r"(?:\d+|[零〇○一二两三四五六七八九十百]+)"
 _ZH_STREET = re.compile(
-    rf"(?P<names>[一-鿿]*?)(?P<kind>大道|路|街|巷|弄|胡同)\s*[-·,]?\s*(?:No\.?\s*|第)?(?P<num>{_ZH_NUM})\s*(?:号(?!楼|院)|#(?!楼))?(?P<rest>.*)$", re.I
+    rf"(?P<kind>大道|路|街|巷|弄|胡同)\s*[-·,]?\s*(?:No\.?\s*|第)?(?P<num>{_ZH_NUM})\s*(?:号(?!楼|院)|#(?!楼))?(?P<rest>.*)$", re.I
 )
 _ZH_UNIT = re.compile(rf"^[\s\-·,之]*(?:(?P<n>{_ZH_NUM})\s*(?:号楼|#楼|幢|栋|座|号院|单元)|(?:Building|Bldg|Block)\.?\s*(?P<m>\d+))", re.I)
 _EN_UNIT = re.compile(r"\b(?:building|bldg|block|blk|unit)\b\.?\s*(?:no\.?\s*)?#?(\d+)", re.I)
 _EN_STREET = re.compile(
-    r"(?:\bno\.?\s*|#)?(?P<before>\d+)?[\s,]*(?P<name>[A-Za-z][A-Za-z ']*?)\s+(?P<kind>street|str|st|road|rd|lane|ln|avenue|ave|av|boulevard|blvd)\b\.?[\s,]*(?:(?:no\.?\s*|#)?(?P<after>\d+))?",
+    r"(?:\bno\.?\s*|#)?(?P<before>(?<!\d)\d{1,9})?[\s,]{0,9}(?<![A-Za-z'])(?P<name>[A-Za-z'](?:[A-Za-z']*+ {1,3}){0,4}?[A-Za-z']*+)\s{1,9}(?P<kind>street|str|st|road|rd|lane|ln|avenue|ave|av|boulevard|blvd)\b\.?[\s,]*(?:(?:no\.?\s*|#)?(?P<after>\d+))?",
     re.I,
 )
 
@@ -120,10 +122,11 @@ def _number(text: str) -> str:
 
 def _plain(raw: str) -> str:
     t = unicodedata.normalize("NFKC", raw).translate(_TRADITIONAL)
-    t = _HEAD.sub("", t)
-    before = None
-    while before != t:  # brackets may nest
-        before, t = t, _BRACKETS.sub(" ", t)
+    t = _HEAD.sub("", " ".join(t.split()))
+    for _ in range(NESTED):
+        if "(" not in t and "[" not in t and "【" not in t:
+            break
+        t = " ".join(_BRACKETS.sub(" ", t).split())
     return _POSTCODE.sub(" ", t).strip(" \t\r\n,，。.;；")
 
 
@@ -160,7 +163,7 @@ class Gazetteer:
                 rest = m["rest"] + " " + " ".join(parts[k + 1 : k + 2])
                 unit = _ZH_UNIT.match(m["rest"]) or _ZH_UNIT.match(rest.strip())
                 found = (m["kind"], _number(m["num"]), _number(unit["n"] or unit["m"]) if unit else "")
-                admin.append((parts[k][: m.end("names")], True))
+                admin.append((parts[k][: m.start("kind")], True))
             elif not _ZH_UNIT.match(parts[k]):
                 admin.append((parts[k], False))
             k += 1
@@ -248,8 +251,7 @@ class Gazetteer:
         return place["p"], city, place["d"], kind, street, number, unit
 
 
-_MARKED_ZH = re.compile(r"(?:(?P<p>[一-鿿]{2,3})省)?[\s·\-,]*(?:(?P<c>[一-鿿]{2,3})市)?[\s·\-,]*(?:(?P<d>[一-鿿]{2,3})区)?")
-_MARKED_EN = re.compile(r"(?P<name>[A-Za-z]+(?: [A-Za-z]+)?)\s+(?P<mark>Province|Prov|City|District|Dist)\b", re.I)
+_MARKED_EN = re.compile(r"(?<![A-Za-z])(?P<name>[A-Za-z]++(?: [A-Za-z]++)?)\s+(?P<mark>Province|Prov|City|District|Dist)\b", re.I)
 
 
 def marked_names(raw: str | None) -> dict[str, str]:

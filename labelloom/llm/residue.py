@@ -53,7 +53,7 @@ _FILLER_UNIT = re.compile(
     r"replace this (?:paragraph|text|line|section)(?: with your own (?:copy|text|content|words))?|your (?:text|content|copy) (?:goes )?here|text goes here|insert text here|test|testing)[\s,，.。、;；!！]*",
     re.I,
 )
-_KEYS = re.compile(r"(?:asdf|qwer|zxcv|hjkl|jkl;|lkj|qwerty|asd|foo|bar|baz|test|测试(?:数据)?|xxx+|aaa+|bbb+|111+|abc|[;\s]|\d{1,4})+", re.I)
+_KEYS = re.compile(r"(?>qwerty|asdf|qwer|zxcv|hjkl|jkl;|lkj|asd|foo|bar|baz|testing|test|测试(?:数据)?|xxx++|aaa++|bbb++|abc|[;\s]++|\d++)++", re.I)
 
 _SLOTS = re.compile(
     r"\{\{[^{}\n]{0,60}\}\}|\$\{[^{}\n]{0,60}\}|\$\[[^\[\]\n]{0,60}\]|\[\[[^\[\]\n]{0,60}\]\]|<%=?[^%\n]{0,60}%>|<<\s*[\w. ]{1,40}\s*>>|«[^»\n]{1,40}»"
