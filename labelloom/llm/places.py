@@ -379,8 +379,11 @@ def _street_ids(places: DataFrame) -> DataFrame:
     the locality. Doubtful is what is no sequence of syllables, or an English spelling that occurs once only. Neighbours
     are found among the streets of a locality, whatever their number of houses, by what both spellings have in common.
     """
-    spellings = places.groupBy("city", "kind", "number", "street").agg(
-        F.count(F.lit(1)).alias("n"), F.max("sound").alias("sound"), F.max(F.col("raw").rlike("[一-鿿]")).alias("zh")
+    # read five times below: a short lineage keeps the plan, and with it the driver's memory, small
+    spellings = checkpointed(
+        places.groupBy("city", "kind", "number", "street").agg(
+            F.count(F.lit(1)).alias("n"), F.max("sound").alias("sound"), F.max(F.col("raw").rlike("[一-鿿]")).alias("zh")
+        )
     )
     doubtful = ~F.col("sound") | (~F.col("zh") & (F.col("n") == 1))
     odd = spellings.where(doubtful).groupBy("city", "kind", "street").agg(F.max("sound").alias("sound"), F.lit(0).cast("long").alias("n"))
