@@ -1,9 +1,12 @@
 """Several values packed in one field, split into one value per row (problem 6).
 
 The delimiter is inferred: every candidate that occurs outside brackets, quotation marks and numbers is scored on how
-consistently it yields the same number of pieces in the records of a source and on how regular the type of its pieces
-is; candidates below the thresholds do not separate. The scores are sums over (source, candidate), combined map-side,
-so a source holding a third of all rows is one row per map task. Each record is then scanned once and exploded.
+consistently it cuts the records of a source (the number of records it cuts, and the spread of its cuts over all of
+them) and on how regular the type of its pieces is; candidates below the thresholds do not separate. A mark inside
+values falls on few records, one at a time; a mark that separates cuts many records or comes in lists. A source of
+fewer than ``ENOUGH`` records says too little of that and takes the consistency of all sources together. The scores
+are sums over (source, candidate), combined map-side, so a source holding a third of all rows is one row per map task.
+Each record is then scanned once and exploded.
 
 A few candidates (line feed, tab, bar, bullet, full-width marks) never occur inside a value; they separate wherever
 they occur outside brackets. The others (comma, slash, hyphen, middle dot, blank) are ambiguous and need the score.
@@ -19,9 +22,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelloom.session import checkpointed
+
 #: Marks that separate wherever they stand free.
 SURE = "，、；;|｜•\n\r\t／"
 #: Marks that separate where the records of the source agree on it.
@@ -148,17 +153,20 @@ def _stands_free(text: str, i: int, ch: str) -> bool:
 
 
 def mark_scores(text: str | None) -> list[tuple[str, int, int, int]]:
-    """(mark, pieces, regular pieces, 1) of every doubtful mark in one record."""
+    """(mark, pieces, regular pieces, own cuts) of every doubtful mark in one record; '' stands for the record itself."""
     t = body(text)
-    marks = free_marks(t) if t else []
-    out = []
+    if not t:
+        return []
+    marks = free_marks(t)
+    out = [("", 0, 0, 0)]
     for d in dict.fromkeys(ch for _, ch in marks if ch in DOUBTFUL):
         cuts = [i for i, ch in marks if ch in SURE or ch == d and _stands_free(t, i, ch)]
-        if not any(t[i] == d for i in cuts):
+        own = sum(t[i] == d for i in cuts)
+        if not own:
             continue
         pieces = [t[a:b].strip() for a, b in zip([0, *[c + 1 for c in cuts]], [*cuts, len(t)])]
         regular = sum(not p or _regular(p) for p in pieces)
-        out.append((d, len(pieces), regular, 1))
+        out.append((d, len(pieces), regular, own))
     return out
 
 
@@ -171,6 +179,18 @@ def _regular(piece: str) -> bool:
 
 #: A doubtful mark separates in a source if at least this share of its pieces is regular.
 REGULAR_SHARE = 0.8
+#: And if it cuts this share of the records, or if the variance of its cuts per record is so many times their mean
+#: (1 where cuts fall on records one by one, at random).
+CUT_SHARE, SPREAD = 1 / 3, 1.5
+#: Records that a source must have to be judged by itself.
+ENOUGH = 8
+
+_SUMS = ("records", "pieces", "regular", "cuts", "squares")
+
+
+def _consistent(mark: Column, records: Column) -> Column:
+    """Whether the sums of a mark show that it separates, among so many records."""
+    return (mark["records"] >= CUT_SHARE * records) | (mark["squares"] / mark["cuts"] - mark["cuts"] / records >= SPREAD)
 
 
 def source_delimiters(rows: DataFrame, source: str, field: str) -> DataFrame:
@@ -180,30 +200,46 @@ def source_delimiters(rows: DataFrame, source: str, field: str) -> DataFrame:
         for b in batches:
             total: dict[tuple, list[int]] = {}
             for s, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for d, pieces, regular, one in mark_scores(text):
-                    t = total.setdefault((s, d), [0, 0, 0])
-                    t[0] += pieces
-                    t[1] += regular
-                    t[2] += one
+                for d, pieces, regular, cuts in mark_scores(text):
+                    t = total.setdefault((s, d), [0] * len(_SUMS))
+                    for k, x in enumerate((1, pieces, regular, cuts, cuts * cuts)):
+                        t[k] += x
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([k[0] for k in total], pa.string()),
                     pa.array([k[1] for k in total], pa.string()),
-                    pa.array([v[0] for v in total.values()], pa.int64()),
-                    pa.array([v[1] for v in total.values()], pa.int64()),
+                    *(pa.array([v[k] for v in total.values()], pa.int64()) for k in range(len(_SUMS))),
                 ],
-                names=["source", "mark", "pieces", "regular"],
+                names=["source", "mark", *_SUMS],
             )
 
-    scored = rows.select(F.col(source).alias("source"), F.col(field).alias("text")).mapInArrow(
-        score, "source string, mark string, pieces long, regular long"
+    def by_mark(keys: list[str], scores: DataFrame) -> DataFrame:
+        """The number of records and the sums of each of the handful of marks."""
+        return scores.groupBy(*keys).agg(
+            F.max(F.when(F.col("mark") == "", F.col("records"))).alias("records"),
+            F.collect_list(F.when(F.col("mark") != "", F.struct("mark", *_SUMS))).alias("found"),
+        )
+
+    sums = [F.sum(c).alias(c) for c in _SUMS]
+    scores = checkpointed(  # few rows a source, read twice below
+        rows.select(F.col(source).alias("source"), F.col(field).alias("text"))
+        .mapInArrow(score, "source string, mark string, " + ", ".join(f"{c} long" for c in _SUMS))
+        .groupBy("source", "mark")
+        .agg(*sums)
+    )
+    pooled = by_mark([], scores.groupBy("mark").agg(*sums))  # one row
+    agreed = pooled.select(
+        F.transform(F.filter("found", lambda m: _consistent(m, F.col("records"))), lambda m: m["mark"]).alias("agreed")
+    )
+    consistent = lambda m: F.when(F.col("records") >= ENOUGH, _consistent(m, F.col("records"))).otherwise(
+        F.array_contains(F.col("agreed"), m["mark"])
     )
+    separates = F.filter("found", lambda m: (m["regular"] >= REGULAR_SHARE * m["pieces"]) & consistent(m))
     return (
-        scored.groupBy("source", "mark")
-        .agg(F.sum("pieces").alias("pieces"), F.sum("regular").alias("regular"))
-        .where(F.col("regular") >= REGULAR_SHARE * F.col("pieces"))
-        .groupBy("source")
-        .agg(F.array_join(F.array_sort(F.collect_set("mark")), "").alias("marks"))  # a handful of marks
+        by_mark(["source"], scores)
+        .crossJoin(F.broadcast(agreed))
+        .select("source", F.array_join(F.array_sort(F.transform(separates, lambda m: m["mark"])), "").alias("marks"))
+        .where(F.col("marks") != "")
     )
 
 

@@ -32,3 +32,18 @@ def test_operator(spark):
     assert rows(out.where("k <> 'r3'")) == [("r1", 1, "糖"), ("r1", 2, "盐"), ("r1", 3, "水")]
     assert out.where("k = 'r3'").count() == 3002
     assert packed_values(df.where("false"), "k", "job", "raw", "v").count() == 0
+
+
+def test_consistency(spark):
+    """A mark inside one value of one record does not separate in a source that shows enough records; lists still do."""
+    data = [(f"a{n}", "plain", "Sugar；Oil；Malt" if n else "Salt, iodised；Oil / fat；Malt") for n in range(12)]
+    data += [(f"b{n}", "mixed", "Sugar；Oil" if n % 4 else "Salt, Oil, Malt, Honey / Egg / Rice") for n in range(12)]
+    data += [(f"c{n}", "lists", "Salt, Oil / Malt") for n in range(12)]
+    data += [("d1", "single", "Salt, Oil / Malt")]
+    df = spark.createDataFrame(data, "k string, job string, raw string")
+    got: dict = {}
+    for k, _, v in rows(packed_values(df, "k", "job", "raw", "v")):
+        got.setdefault(k, []).append(v)
+    assert got["a0"] == ["Salt, iodised", "Oil / fat", "Malt"]
+    assert got["b0"] == ["Salt", "Oil", "Malt", "Honey", "Egg", "Rice"]
+    assert got["c3"] == got["d1"] == ["Salt", "Oil", "Malt"]  # a source of one row follows the others
