@@ -1,10 +1,12 @@
 """Template residue, filler and error-page text (problem 10).
 
-Lines are masked (digits, hexadecimal ids, quoted names, file names) and routed through a fixed-depth prefix tree:
-token count, then the first tokens, then the leaf's message templates. A template is classified once, when it is
-mined, and its verdict propagates to every further line that reaches it. A verdict depends on the template alone, so
-it is the same in every partition and no line needs to be shuffled. Apart from that, ordinary lines are searched for
-unresolved slots.
+Lines are masked (digits, hexadecimal ids, quoted names, file names). Documents in which every line is a notice by its
+wording are mined first: their lines are routed to the leaves of a fixed-depth prefix tree (token count, then the
+first tokens), lines of a leaf that are alike are merged to one template with a wildcard where they differ, and the
+documents of each template are counted over the whole corpus. Then every line is judged by its wording and, where that
+says nothing, by the mined template that it is like, so a notice in other words is found by its kin. Only lines of
+notices are shuffled. The templates are the same for all partitions, and so are the verdicts. Apart from that, texts
+are searched for unresolved slots.
 
 A document is a case if a slot is unresolved or filler stands anywhere in it, or if nothing but notices (with page
 navigation) stands in it. A document with content that only speaks of errors, placeholders or scripts is none.
@@ -16,7 +18,8 @@ rows count once.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,8 +29,12 @@ from labelloom.session import spread
 
 #: Levels of the prefix tree below the token count.
 DEPTH = 4
-#: Templates that a worker remembers; the tree is mined anew beyond that, which changes no verdict.
-MAX_TEMPLATES = 200_000
+#: Lines whose verdict a worker remembers; it starts anew beyond that, which changes no verdict.
+MAX_REMEMBERED = 200_000
+#: Share of equal tokens from which a line belongs to a template; its wildcards do not count as equal.
+ALIKE = 0.75
+#: Templates in a smaller share of all documents are not sent to the executors; their own lines are notices by wording.
+LEAST_SHARE = 1e-5
 
 _MASKS = [
     (re.compile(r"0x[0-9a-f]+|\b[0-9a-f]{12,}\b", re.I), "<id>"),
@@ -142,29 +149,70 @@ def _units(t: str) -> bool:
     return True
 
 
+def _leaf(tokens: list[str]) -> str:
+    """Where the prefix tree leads ``tokens``."""
+    return " ".join([str(len(tokens)), *tokens[:DEPTH]])
+
+
+def _likeness(template: list[str], tokens: list[str]) -> float:
+    return sum(a == b for a, b in zip(template, tokens)) / len(tokens)
+
+
+def merged(lines: list[tuple[list[str], int]]) -> list[tuple[list[str], int]]:
+    """(template, documents) of the lines of one leaf, each with its number of documents; their order does not matter."""
+    out: list[list] = []
+    for tokens, n in sorted(lines, key=lambda x: (-x[1], x[0])):
+        best = max(out, key=lambda t: _likeness(t[0], tokens), default=None)
+        if best is not None and _likeness(best[0], tokens) >= ALIKE:
+            best[0] = [a if a == b else WILDCARD for a, b in zip(best[0], tokens)]
+            best[1] += n
+        else:
+            out.append([tokens, n])
+    return [(t, n) for t, n in out]
+
+
+WILDCARD = "<*>"
+
+
 class TemplateTree:
-    """Mined templates by token count and first tokens; each carries the verdict that its lines share."""
+    """The verdict of each line: by its wording, else by the mined templates of notices."""
 
-    def __init__(self, depth: int = DEPTH):
-        self.depth = depth
-        self.root: dict = {}
-        self.size = 0
+    def __init__(self, templates: Iterable[str] = ()):
+        self.leaves: dict[str, list[list[str]]] = {}
+        for t in templates:
+            tokens = t.split(" ")
+            self.leaves.setdefault(_leaf(tokens), []).append(tokens)
+        self.known: dict[str, int] = {}
 
     def verdict(self, line: str) -> int:
         m = masked(line)
-        tokens = _TOKENS.findall(m)
-        node = self.root.setdefault(len(tokens), {})
-        for k in tokens[: self.depth]:
-            node = node.setdefault(k, {})
-        leaf = node.setdefault("", {})  # no token is empty
-        key = tuple(tokens[self.depth :])
-        if key not in leaf:
-            if self.size >= MAX_TEMPLATES:
-                self.root, self.size = {}, 0
-                return self.verdict(line)
-            leaf[key] = classify(m)
-            self.size += 1
-        return leaf[key]
+        if m not in self.known:
+            if len(self.known) >= MAX_REMEMBERED:
+                self.known.clear()
+            self.known[m] = self._verdict(m)
+        return self.known[m]
+
+    def _verdict(self, m: str) -> int:
+        v = classify(m)
+        if v == ORDINARY and self.leaves and not _REPORTED.search(m):
+            tokens = _TOKENS.findall(m)
+            if any(_likeness(t, tokens) >= ALIKE for t in self.leaves.get(_leaf(tokens), ())):
+                return NOTICE
+        return v
+
+
+def is_notice(text: str, tree: TemplateTree) -> bool:
+    """Whether nothing but notices, with page navigation, stands in ``text``."""
+    found = False
+    for line in text.splitlines():
+        if line.strip() and len(line) <= 400:
+            v = tree.verdict(line.strip())
+            if v == ORDINARY:
+                return False
+            found |= v == NOTICE
+        elif line.strip():  # longer than any notice
+            return False
+    return found
 
 
 def is_residue(text: str | None, tree: TemplateTree) -> bool:
@@ -173,29 +221,52 @@ def is_residue(text: str | None, tree: TemplateTree) -> bool:
         return False
     if _SLOT_HINT.search(text) and _SLOTS.search(text):
         return True
-    notices = ordinary = 0
-    for line in text.splitlines():
-        if not line.strip():
-            continue
-        if is_filler(line) or _EMPTY_VALUE.match(line):
-            return True
-        if len(line) > 400:  # longer than any notice
-            ordinary += 1
-            continue
-        v = tree.verdict(line.strip())
-        notices += v == NOTICE
-        ordinary += v == ORDINARY
-    return notices > 0 and ordinary == 0
+    if any(is_filler(line) or _EMPTY_VALUE.match(line) for line in text.splitlines() if line.strip()):
+        return True
+    return is_notice(text, tree)
+
+
+def mined_templates(texts: DataFrame) -> DataFrame:
+    """(template, n): templates of the lines of all notices in ``texts`` (doc_id, text), with their documents."""
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = TemplateTree()
+        for b in batches:
+            n: Counter = Counter()
+            for text in b.column(1).to_pylist():
+                if text.strip() and is_notice(text, tree):
+                    own = {masked(x.strip()) for x in text.splitlines() if x.strip()}
+                    n.update({" ".join(_TOKENS.findall(m)) for m in own if classify(m) == NOTICE})
+            n.pop("", None)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([_leaf(k.split(" ")) for k in n], pa.string()), pa.array(list(n), pa.string()), pa.array(n.values(), pa.int64())],
+                names=["leaf", "line", "n"],
+            )
+
+    def merge(leaf: pa.Table) -> pa.Table:
+        out = merged([(t.split(" "), n) for t, n in zip(leaf["line"].to_pylist(), leaf["n"].to_pylist())])
+        return pa.table({"template": pa.array([" ".join(t) for t, _ in out], pa.string()), "n": pa.array([n for _, n in out], pa.int64())})
+
+    return (
+        texts.mapInArrow(lines, "leaf string, line string, n long")
+        .groupBy("leaf", "line")
+        .agg(F.sum("n").alias("n"))
+        .groupBy("leaf")
+        .applyInArrow(merge, "template string, n long")
+    )
 
 
 def residue_documents(docs: DataFrame) -> DataFrame:
     """(doc_id): each document where residue stands in place of content."""
 
+    texts = spread(docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text"))
+    least = LEAST_SHARE * texts.count()
+    templates = tuple(r.template for r in mined_templates(texts).where(F.col("n") >= F.lit(least)).toLocalIterator())
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = TemplateTree()
+        tree = TemplateTree(templates)
         for b in batches:
             hit = [is_residue(t.as_py(), tree) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(hit, pa.bool_()))], names=["doc_id"])
 
-    texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
-    return spread(texts).mapInArrow(find, "doc_id long").distinct()
+    return texts.mapInArrow(find, "doc_id long").distinct()

@@ -1,4 +1,4 @@
-from labelloom.llm.residue import TemplateTree, is_residue, residue_documents
+from labelloom.llm.residue import WILDCARD, TemplateTree, is_residue, merged, mined_templates, residue_documents
 
 CASES = [
     "净含量：{{ net_weight }}\n产地：甲", "本产品由[此处填写产地]生产", "Net weight ${origin}, best before 3 days", "地址：<请输入地址>", "规格：____________", "产品名称：XXXX有限公司",
@@ -31,3 +31,19 @@ def test_operator(spark):
     out = residue_documents(spark.createDataFrame(data, "doc_id long, text string, hit string"))
     assert {r.doc_id for r in out.collect()} == {*range(len(CASES)), 999} and out.count() == len(CASES) + 1
     assert residue_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_templates_are_mined(spark):
+    """Notices in other words are found by their kin in other documents, and spaces are part of a line."""
+    known = [f"The requested label page was not found on {h} server." for h in ("this", "our", "any")]
+    other = "The requested label page was not readable on this server."
+    data = [(n, t) for n, t in enumerate([*known, *known, other, other + "\n产地：甲", "The requested label has three pages on this side of the box."])]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert [(r.template, r.n) for r in mined_templates(df).collect()] == [(f"The requested label page was not found on {WILDCARD} server .", 6)]
+    assert not is_residue(other, TemplateTree())
+    assert {r.doc_id for r in residue_documents(df).collect()} == set(range(7))
+    for order in (1, -1):
+        tree = TemplateTree()
+        assert {t: is_residue(t, tree) for t in ["页面 不存在", "页面不存在"][::order]} == {"页面 不存在": False, "页面不存在": True}
+    lines = [(f"a b c d e f g {k}".split(), k) for k in range(1, 5)]
+    assert merged(lines) == merged(lines[::-1]) == [("a b c d e f g <*>".split(), 10)]
