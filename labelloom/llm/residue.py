@@ -63,7 +63,7 @@ _FILLER_UNIT = re.compile(
 _KEYS = re.compile(r"(?>qwerty|asdf|qwer|zxcv|hjkl|jkl;|lkj|asd|foo|bar|baz|testing|test|测试(?:数据)?|xxx++|aaa++|bbb++|abc|[;\s]++|\d++)++", re.I)
 
 _SLOTS = re.compile(
-    r"\{\{[^{}\n]{0,60}\}\}|\$\{[^{}\n]{0,60}\}|\$\[[^\[\]\n]{0,60}\]|\[\[[^\[\]\n]{0,60}\]\]|<%=?[^%\n]{0,60}%>|<<\s*[\w. ]{1,40}\s*>>|«[^»\n]{1,40}»"
+    r"\{\{[^{}\n]*\}\}|\$\{[^{}\n]*\}|\$\[[^\[\]\n]*\]|\[\[[^\[\]\n]*\]\]|<%=?[^%\n]*%>|<<\s*[\w. ]{1,40}\s*>>|«[^»\n]{1,40}»"
     r"|\{(?:\d{1,2}|%?[sd]|[A-Za-z_][\w.]{0,40})\}|%[A-Z][A-Z_]{2,40}%|@@\w{1,40}@@|(?<!\w)__[A-Z][A-Z_]{1,40}__(?!\w)"
     r"|#(?:NAME\?|REF!|VALUE!|DIV/0!|N/A|NULL!|NUM!)|(?<![\w%])%[sd](?!\w)"
     r"|[\[【<（(〔{][ ]*(?:请|此处|这里|在此|待)(?:在此)?(?:处)?(?:填写|输入|填入|填|补充|插入|替换|选择|录入|定)[^\]】>）)〕}\n]{0,30}[\]】>）)〕}]"
@@ -123,7 +123,7 @@ def classify(template: str) -> int:
     t = template.strip().lstrip(">•*- ").strip()
     if _NAVIGATION.match(t):
         return NAVIGATION
-    if not _REPORTED.search(t) and len(t) <= 300 and any(p.search(t) for p in _NOTICE):
+    if not _REPORTED.search(t) and any(p.search(t) for p in _NOTICE):
         return NOTICE
     return ORDINARY
 
@@ -186,6 +186,8 @@ class TemplateTree:
 
     def verdict(self, line: str) -> int:
         m = masked(line)
+        if len(m) > LONG_LINE:
+            return self._verdict(m)
         if m not in self.known:
             if len(self.known) >= MAX_REMEMBERED:
                 self.known.clear()
@@ -201,17 +203,28 @@ class TemplateTree:
         return v
 
 
+#: Longer lines are judged by their sentences, each by itself.
+LONG_LINE = 400
+#: Ends of sentences, and where the lines of a program's trace begin if it stands in one line.
+_PARTS = re.compile(r"(?<=[。！？!?；;])|(?<=[^\W\d]\.)\s|(?<=\d\.)\s|(?<=[)\]]\.)\s|\s(?=at [\w.$<>]{1,200}\(|File \"|Caused by:|Traceback \(|[\w.]{0,200}(?:Error|Exception)\b)")
+
+
+def parts(line: str) -> Iterator[str]:
+    """``line`` if it is short, else its sentences."""
+    for part in _PARTS.split(line) if len(line) > LONG_LINE else (line,):
+        if part.strip():
+            yield part.strip()
+
+
 def is_notice(text: str, tree: TemplateTree) -> bool:
     """Whether nothing but notices, with page navigation, stands in ``text``."""
     found = False
     for line in text.splitlines():
-        if line.strip() and len(line) <= 400:
-            v = tree.verdict(line.strip())
+        for part in parts(line.strip()):
+            v = tree.verdict(part)
             if v == ORDINARY:
                 return False
             found |= v == NOTICE
-        elif line.strip():  # longer than any notice
-            return False
     return found
 
 
@@ -235,7 +248,7 @@ def mined_templates(texts: DataFrame) -> DataFrame:
             n: Counter = Counter()
             for text in b.column(1).to_pylist():
                 if text.strip() and is_notice(text, tree):
-                    own = {masked(x.strip()) for x in text.splitlines() if x.strip()}
+                    own = {masked(x) for line in text.splitlines() for x in parts(line.strip())}
                     n.update({" ".join(_TOKENS.findall(m)) for m in own if classify(m) == NOTICE})
             n.pop("", None)
             yield pa.RecordBatch.from_arrays(

@@ -47,3 +47,20 @@ def test_templates_are_mined(spark):
         assert {t: is_residue(t, tree) for t in ["页面 不存在", "页面不存在"][::order]} == {"页面 不存在": False, "页面不存在": True}
     lines = [(f"a b c d e f g {k}".split(), k) for k in range(1, 5)]
     assert merged(lines) == merged(lines[::-1]) == [("a b c d e f g <*>".split(), 10)]
+
+
+def test_long_lines_and_slots_are_read_whole():
+    tree = TemplateTree()
+    trace = "Traceback (most recent call last): " + "".join(f'File "/srv/label/part_{n}.py", line {n}, in build ' for n in range(30)) + "KeyError: 'x'"
+    java = "java.lang.IllegalStateException: closed " + "".join(f"at label.export.Sheet{n}.write(Sheet{n}.java:{n}) " for n in range(30))
+    page = "系统繁忙，请稍后再试。" * 60
+    one = "Access denied: " + "record of the label, " * 30 + "you do not have permission"
+    for t in (trace, java, page, one, "404 Not Found\n" + page):
+        assert len(t.split("\n")[-1]) > 400 and is_residue(t, tree), t[:40]
+    prose = "The label lists energy and protein per serving. " * 12
+    for t in (prose, prose + "Access denied: you do not have permission.", "产品正文说明。" * 80 + "系统繁忙，请稍后再试。"):
+        assert len(t) > 400 and not is_residue(t, tree), t[:40]
+    long = "product.origin." * 8
+    for t in ("{{ %s }}", "${%s}", "$[%s]", "[[%s]]", "<%%= %s %%>"):
+        assert is_residue("产地：" + t % long, tree), t
+    assert not is_residue("产地：{{ " + long + "\n }}", tree)
