@@ -31,7 +31,7 @@ from labelloom.session import spread
 MAX_LETTERS = 20_000_000
 #: Part of an item that must stand in one piece, and letters per error.
 SHARE, PER_ERROR = 0.5, 20
-#: Blocks are not cut shorter than this.
+#: Blocks are not cut shorter than this, but for items so short that a stretch would hold none.
 MIN_BLOCK = 4
 MIN_LETTERS = 8
 
@@ -52,6 +52,8 @@ def block_length(n: int) -> tuple[int, int, int]:
     # a stretch of `least` letters holds at least least // b - 1 whole blocks of b letters wherever it starts,
     # and each error spoils one of them at most; half the longest possible block leaves several whole
     b = max(min(MIN_BLOCK, least), least // (2 * errors + 4))
+    if n >= MIN_LETTERS:  # a stretch that starts off the block grid holds a whole block only if it has 2 * b - 1 letters
+        b = min(b, (least + 1) // 2)
     return least, b, max(1, least // b - 1 - errors)
 
 

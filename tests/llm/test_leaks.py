@@ -57,3 +57,16 @@ def test_operator(spark):
     assert rows(leaking_documents(docs, items)) == [(1, 9), (4, 9)]
     assert leaking_documents(docs.where("false"), items).count() == 0
     assert leaking_documents(docs, items.where("false")).count() == 0
+
+
+def test_short_items_off_the_block_grid():
+    """Every stretch of half an item is found wherever it starts in the item."""
+    from labelloom.llm.leaks import LeakFinder
+
+    for n in range(8, 41):
+        item = "abcdefghijklmnopqrstuvwxyz0123456789甲乙丙丁"[:n]
+        finder, least = LeakFinder([(1, item)]), -(-n // 2)
+        for at in range(n - least + 1):
+            assert finder.leaked("天地" + item[at : at + least] + "玄黄") == [1], (n, at)
+        if least < 20:  # no letter may differ
+            assert finder.leaked("天地" + item[: least - 1] + "玄黄") == []
