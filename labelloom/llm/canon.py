@@ -1,8 +1,8 @@
 """Free-entered values mapped to a canonical list (problem 4).
 
 A multi-pattern automaton over all names and aliases of the list finds embedded mentions; the longest non-overlapping
-ones win. A value that mentions nothing goes to token-set similarity: the entries sharing most character pairs are
-compared by edit distance (with transpositions). The list is a reference list that does not grow; its size is checked
+ones win. A value that mentions nothing goes to similarity: all entries that share enough characters and pairs to lie
+within the edit budget are compared by edit distance (with transpositions). The list is a reference list that does not grow; its size is checked
 before it is sent to the executors. No value is shuffled: each distinct one is resolved once per Python worker.
 
 Defined results: null and blank values and values that are exactly a display name give no row; a value that means no
@@ -29,8 +29,9 @@ MAX_ENTRIES = 100_000
 MENTION_SHARE, LEAST_MENTION_SHARE = 0.75, 0.5
 #: Distinct values that a worker remembers.
 REMEMBERED = 200_000
-#: Entries compared by edit distance per value, those with most pairs in common and all that tie with the last.
-COMPARED = 8
+#: Tokens (letters and pairs of neighbours) that one edit takes from a value at most: three pairs where two letters are
+#: exchanged, two pairs and a letter where one is replaced or left out.
+LOST = 3
 
 #: Traditional characters and the simplified ones of the same word, in pairs.
 TRADITIONAL = (
@@ -90,6 +91,9 @@ class Canon:
         if self.names:
             self.automaton.make_automaton()
         self.sets = {k: _pairs(k) for k in self.names}
+        self.of_length: dict[int, list[str]] = {}
+        for k in self.names:
+            self.of_length.setdefault(len(k), []).append(k)
         self.having: dict[str, list[str]] = {}
         for k, s in self.sets.items():
             for p in s:
@@ -118,7 +122,7 @@ class Canon:
         return max(cover, key=lambda e: cover[e])
 
     def _nearest(self, t: str) -> int:
-        """The one entry within the edit budget among those with the most similar token sets."""
+        """The one entry closest within the edit budget; every name that can lie in it is compared."""
         most = max(1, len(t) // 10)
         if len(t) < 2:
             return 0
@@ -126,11 +130,13 @@ class Canon:
         for p in own:
             for k in self.having.get(p, ()):
                 common[k] += min(own[p], self.sets[k][p])
-        score = sorted(((2 * c / (own.total() + self.sets[k].total()), k) for k, c in common.items()), reverse=True)
+        # an edit touches at most LOST tokens, so a name within the budget has all others in common
+        if (shared := own.total() - LOST * most) > 0:
+            near = [k for k, c in common.items() if c >= shared and abs(len(k) - len(t)) <= most]
+        else:
+            near = [k for n in range(len(t) - most, len(t) + most + 1) for k in self.of_length.get(n, ())]
         best: dict[int, int] = {}
-        for s, k in score:
-            if len(best) and s < score[min(COMPARED, len(score)) - 1][0]:
-                break
+        for k in near:
             if (d := edit_distance(t, k, most)) <= most and len(k) > 2 * d:
                 best[self.names[k]] = min(d, best.get(self.names[k], most))
         if not best:

@@ -26,3 +26,21 @@ def test_operator(spark):
     assert rows(out) == [("b", 1), ("e", 0)]
     assert map_to_catalog(df.where("false"), "rec", "label", catalog).count() == 0
     assert rows(map_to_catalog(df.where("rec = 'b'"), "rec", "label", catalog.where("false")).select("catalog_id").distinct()) == [(0,)]
+
+
+def test_every_name_within_the_budget_is_compared():
+    """Against all names: also where many others have more pairs in common, or none is shared."""
+    import random
+
+    draw = random.Random(5)
+    names = sorted({"".join(draw.choices("abcd", k=draw.randint(3, 24))) for _ in range(400)})
+    canon = Canon([(n, [name]) for n, name in enumerate(names, 1)])
+    for _ in range(400):
+        t = list(draw.choice(names))
+        for _ in range(draw.randint(1, 2)):
+            t[draw.randrange(len(t))] = draw.choice("abcdx")
+        t = "".join(t)
+        most = max(1, len(t) // 10)
+        found = [(d, e) for e, k in enumerate(names, 1) if (d := edit_distance(t, k, most)) <= most and len(k) > 2 * d]
+        closest = [e for d, e in found if d == min(found)[0]]
+        assert canon._nearest(t) == (closest[0] if len(closest) == 1 else 0), t
