@@ -30,10 +30,29 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return nested.nested_links(table(spark, d, "parse_results"))
 
 
-def p3_fields(spark: SparkSession, d: str) -> DataFrame:
-    """The flat table of fields, one of those written per tag."""
-    nodes = nested.nested_nodes(table(spark, d, "parse_results"))
-    return nested.flat_table(nodes, "field")
+def _flat(kind: str):
+    """The query of the flat table of one kind."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        nodes = nested.nested_nodes(table(spark, d, "parse_results"))
+        return nested.flat_table(nodes, kind)
+
+    return query
+
+
+#: The flat table of each kind of node.
+FLAT = {
+    "p3_tables": "table",
+    "p3_rows": "row",
+    "p3_cells": "cell",
+    "p3_cell_refs": "cell_ref",
+    "p3_evidence": "evidence",
+    "p3_nodes": "node",
+    "p3_entities": "entity",
+    "p3_fields": "field",
+    "p3_field_refs": "field_ref",
+    "p3_requirements": "requirement",
+}
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +69,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_report": p2_report,
     "p3_found": p3_found,
-    "p3_fields": p3_fields,
+    **{name: _flat(kind) for name, kind in FLAT.items()},
     "p6_found": p6_found,
     "p6_counts": p6_counts,
 }

@@ -41,3 +41,21 @@ def test_distributed_and_flat(spark):
     assert flat.count() == 50 and flat.where("length(source_text) = 2000").count() == 50
     assert nested_links(df.where("false")).count() == 0
     assert rows(flat_table(nested_nodes(df), "node")) == []
+
+
+def test_every_kind_has_its_flat_table(spark, data, tmp_path):
+    """The flat tables hold the links of p3_found, and the tags written in one job read back to the same tables."""
+    from labelloom.operators.nested import KINDS, write_tables
+    from labelloom.plans.data_queries import FLAT, QUERIES
+    from labelloom.session import table
+
+    assert sorted(FLAT.values()) == sorted(KINDS)
+    links = QUERIES["p3_found"](spark, data).cache()
+    write_tables(nested_nodes(table(spark, data, "parse_results")), str(tmp_path / "nodes"))
+    written = spark.read.parquet(str(tmp_path / "nodes"))
+    for name, kind in FLAT.items():
+        flat = QUERIES[name](spark, data)
+        keys = ["job_id", "parent_key", "child_key"]
+        got = rows(flat.select(keys).distinct())
+        assert got and got == rows(links.where(links.node_kind == kind).select(keys)), kind
+        assert rows(flat) == rows(flat_table(written, kind)), kind
