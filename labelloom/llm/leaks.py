@@ -1,11 +1,11 @@
 """Evaluation passages leaking into a corpus (problem 9).
 
 Pigeonhole edit matching. A leak is a stretch of at least half of an item's letters that stands in a document with at
-most one letter in twenty different. Each item is cut into blocks so short that any such stretch holds more whole
-blocks than it may have errors, so that several blocks (``LeakFinder.needed``) stand in the document exactly and on
-nearly one diagonal. One automaton over the blocks of all items finds these hits in a pass over the document's
-letters; hits that lie so are extended to both sides by Myers' bit-parallel edit distance, with bit vectors as long
-as the item.
+most one letter in twenty different. Each item is cut into blocks so short that any such stretch, whatever its length,
+holds at least one whole block more than it may have errors, so that a block stands in the document exactly. One
+automaton over the halves of the blocks of all items finds these hits in a pass over the document's letters; each hit
+that has as many other halves near its diagonal as every leak must have is extended to both sides by Myers'
+bit-parallel edit distance, with bit vectors as long as the item.
 
 The items are a held-out set that does not grow; their size is checked before they are sent to the executors. The
 corpus is read once and not shuffled before the last distinct.
@@ -29,11 +29,12 @@ from labelloom.session import spread
 
 #: Items beyond this many letters in all are not sent to the executors.
 MAX_LETTERS = 20_000_000
-#: Part of an item that must stand in one piece, and letters per error.
-SHARE, PER_ERROR = 0.5, 20
-#: Blocks are not cut shorter than this, but for items so short that a stretch would hold none.
-MIN_BLOCK = 4
+#: Letters per error; half of an item must stand in one piece.
+PER_ERROR = 20
+#: Shorter items must stand whole and exactly.
 MIN_LETTERS = 8
+#: Blocks of so many letters are looked for in halves.
+HALVED = 8
 
 _NO_LETTER = re.compile(r"[\W_]+")
 
@@ -45,41 +46,57 @@ def letters(text: str) -> str:
     return _NO_LETTER.sub("", text.casefold())
 
 
-def block_length(n: int) -> tuple[int, int, int]:
-    """(least stretch, block length, blocks that stand exactly in it) of an item of ``n`` letters."""
-    least = -(-n // 2) if n >= MIN_LETTERS else n
-    errors = least // PER_ERROR
-    # a stretch of `least` letters holds at least least // b - 1 whole blocks of b letters wherever it starts,
-    # and each error spoils one of them at most; half the longest possible block leaves several whole
-    b = max(min(MIN_BLOCK, least), least // (2 * errors + 4))
-    if n >= MIN_LETTERS:  # a stretch that starts off the block grid holds a whole block only if it has 2 * b - 1 letters
-        b = min(b, (least + 1) // 2)
-    return least, b, max(1, least // b - 1 - errors)
+def block_length(n: int) -> tuple[int, int]:
+    """(least stretch, block length) of an item of ``n`` letters.
+
+    A stretch of L letters may have L // PER_ERROR errors, so it must hold one whole block more than that wherever it
+    starts. The longest block that gives every stretch from the least one to the whole item its blocks is taken.
+    """
+    if n < MIN_LETTERS:
+        return n, n
+    least = -(-n // 2)
+    return least, min((length + 1) // (length // PER_ERROR + 2) for length in range(least, min(n, least + PER_ERROR) + 1))
+
+
+def exact_parts(n: int, part: int) -> int:
+    """The least number of parts of ``part`` letters that stand exactly in a leaked stretch of an item of ``n`` letters.
+
+    (L + 1) // part - 1 whole parts stand in a stretch of L letters at worst, and each error spoils one of them at most.
+    """
+    if n < MIN_LETTERS:
+        return 1
+    return max(1, min((length + 1) // part - 1 - length // PER_ERROR for length in range(-(-n // 2), n + 1)))
 
 
 class LeakFinder:
-    """The automaton over the blocks of all items."""
+    """The automaton over the blocks of all items, long ones in halves.
+
+    A hit is a block whose halves stand side by side. Before it is extended, the halves on nearly its diagonal are
+    counted: in a leaked stretch stand at least ``exact_parts`` of them.
+    """
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.items: dict[int, tuple[str, int, int]] = {}
+        self.items: dict[int, tuple[str, int, int, int]] = {}  # letters, least stretch, length of a part, parts a block
         self.needed: dict[int, int] = {}
         self.automaton = ahocorasick.Automaton()
         for item, text in items:
             t = letters(text or "")
             if not t:
                 continue
-            least, b, self.needed[item] = block_length(len(t))
-            self.items[item] = (t, least, b)
-            for at in range(0, len(t) - b + 1, b):
-                block = t[at : at + b]
-                if block in self.automaton:
-                    self.automaton.get(block).append((item, at))
+            least, b = block_length(len(t))
+            halves = 2 if b >= HALVED else 1
+            part = b // halves
+            self.items[item] = (t, least, part, halves)
+            self.needed[item] = exact_parts(len(t), part)
+            for at in range(0, len(t) - part + 1, part):
+                word = t[at : at + part]
+                if word in self.automaton:
+                    self.automaton.get(word).append((item, at, part))
                 else:
-                    self.automaton.add_word(block, [(item, at)])
+                    self.automaton.add_word(word, [(item, at, part)])
         self.any = len(self.automaton) > 0
         if self.any:
             self.automaton.make_automaton()
-            self.sizes = {item: b for item, (_, _, b) in self.items.items()}
 
     def leaked(self, text: str | None) -> list[int]:
         """The items that ``text`` leaks."""
@@ -88,20 +105,25 @@ class LeakFinder:
         doc = letters(text)
         hits: dict[int, list[tuple[int, int]]] = {}
         for end, found in self.automaton.iter(doc):
-            for item, at in found:
-                hits.setdefault(item, []).append((end - self.sizes[item] + 1, at))
+            for item, at, part in found:
+                hits.setdefault(item, []).append((end - part + 1, at))
         return [item for item, h in hits.items() if len(h) >= self.needed[item] and self._verified(doc, item, h)]
 
     def _verified(self, doc: str, item: int, hits: list[tuple[int, int]]) -> bool:
-        t, least, b = self.items[item]
+        t, least, part, halves = self.items[item]
+        b = part * halves
         covered: dict[int, int] = {}  # diagonal -> document place up to which its stretch was tried
-        for d, at in self._in_line(hits, self.needed[item], len(t) // PER_ERROR):
+        near = self._in_line(hits, self.needed[item], len(t) // PER_ERROR)
+        there = set(near)
+        for d, at in near:
+            if at % b or halves == 2 and (d + part, at + part) not in there:
+                continue
             if covered.get(d - at, -1) >= d:
                 continue
-            n, right, left = self._extended(doc, t, d, at, b, least)
-            if n:
+            leaks, right = self._extended(doc, t, d, at, b, least)
+            if leaks:
                 return True
-            covered[d - at] = max(covered.get(d - at, -1), d + b + right - b)
+            covered[d - at] = d + right
         return False
 
     @staticmethod
@@ -126,8 +148,8 @@ class LeakFinder:
                 kept = high + 1
         return sorted(h for h, k in zip(hits, keep) if k)
 
-    def _extended(self, doc: str, t: str, d: int, at: int, b: int, least: int) -> tuple[bool, int, int]:
-        """Whether the block at ``at``, found at ``d``, lies in a leaked stretch; letters reached to each side."""
+    def _extended(self, doc: str, t: str, d: int, at: int, b: int, least: int) -> tuple[bool, int]:
+        """Whether the block at ``at``, found at ``d``, lies in a leaked stretch; exact letters to its right."""
         most = len(t) // PER_ERROR
         right = myers_reach(t[at + b :], doc[d + b : d + b + len(t) - at - b + most], most)
         left = myers_reach(t[:at][::-1], doc[max(0, d - at - most) : d][::-1], most)
@@ -139,11 +161,11 @@ class LeakFinder:
         for n, e in enumerate(left):
             need = max(0, least - b - n)
             if need < len(best) and e - n / PER_ERROR + best[need] <= b / PER_ERROR + 1e-9:
-                return True, len(right) - 1, len(left) - 1
+                return True, 0
         exact = 0
         while exact + 1 < len(right) and right[exact + 1] == 0:
             exact += 1
-        return False, exact, len(left) - 1
+        return False, exact
 
 
 def myers_reach(pattern: str, text: str, most: int) -> list[int]:

@@ -35,7 +35,7 @@ def test_reach_against_dynamic_programming():
 def test_leaks():
     f = LeakFinder([(1, ITEM), (2, None), (3, "。。")])
     t = letters(ITEM)
-    least, b, needed = block_length(len(t))
+    least, b = block_length(len(t))
     assert f.leaked(ITEM) == [1] and f.leaked("x" * 50 + ITEM[: len(ITEM) * 6 // 10] + "y" * 50) == [1]
     spaced = " ".join(ITEM[10 : 10 + len(ITEM) * 6 // 10]).upper()
     assert f.leaked(spaced) == [1]
@@ -70,3 +70,20 @@ def test_short_items_off_the_block_grid():
             assert finder.leaked("天地" + item[at : at + least] + "玄黄") == [1], (n, at)
         if least < 20:  # no letter may differ
             assert finder.leaked("天地" + item[: least - 1] + "玄黄") == []
+
+
+def test_every_stretch_with_all_its_errors():
+    """Stretches of each length with as many errors as they may have, one a block, are found wherever they start."""
+    for n in (39, 40, 78, 79, 118, 158, 198, 240):
+        item = "".join(chr(0x4E00 + 7 * i) for i in range(n))
+        finder, (least, b) = LeakFinder([(1, item)]), block_length(n)
+        for length in sorted({least, least + 1, *(20 * k for k in range(1, n // 20 + 1) if least <= 20 * k <= n)}):
+            for at in range(n - length + 1):
+                first = -at % b  # of the first whole block
+                for extra in (0, 1):
+                    part = list(item[at : at + length])
+                    wrong = length // 20 + extra
+                    for k in range(wrong):
+                        part[min(first + b // 2 + k * b, length - 2 - (wrong - 1 - k))] = "错"
+                    if extra == 0 or length == least:
+                        assert finder.leaked("天地" + "".join(part) + "玄黄") == ([1] if not extra else []), (n, length, at)
