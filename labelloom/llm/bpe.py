@@ -1,6 +1,7 @@
 """Encoding of a corpus with a public byte-level BPE vocabulary (problem 8).
 
-A block of texts becomes one array of byte symbols with links to the next and the previous symbol of the same word.
+The distinct words of a block of texts become one array of byte symbols with links to the next and the previous symbol
+of the same word; the ids of each word are then gathered for all its occurrences.
 The pair occurrence index maps each mergeable pair, by its rank, to all its positions in the block. Active ranks are
 taken in ascending order; each merges all its positions at once and files the pairs that arise under their own, always
 higher, ranks. A block is closed once it holds BLOCK_BYTES; a longer text is a block of its own and encoded whole.
@@ -14,6 +15,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from heapq import heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -151,19 +153,25 @@ class ByteBpe:
         return sym[left], left
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text."""
-        lengths = np.array([len(t) if t else 0 for t in texts], np.int64)
-        words: list[int] = []
-        for t in texts:
-            if t:
-                words.extend(map(len, WORDS.findall(t)))
-        joined = "".join(t for t in texts if t)
-        raw = np.frombuffer(joined.encode("utf-8", "replace"), np.uint8)
+        """The ids of each text; each distinct word of the block is encoded once."""
+        found = [WORDS.findall(t) if t else () for t in texts]
+        place = {w: k for k, w in enumerate(dict.fromkeys(chain.from_iterable(found)))}
+        if not place:
+            return [np.empty(0, np.int32) for _ in texts]
+        sizes = np.fromiter((len(w) for w in place), np.int64, len(place))
+        raw = np.frombuffer("".join(place).encode("utf-8", "replace"), np.uint8)
         first_byte = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))  # of each character
-        ends = first_byte[np.cumsum(np.array(words, np.int64))] if words else np.empty(0, np.int64)
+        ends = first_byte[np.cumsum(sizes)]
         ids, at = self.encode_block(raw, ends)
-        bounds = np.searchsorted(at, first_byte[np.concatenate(([0], np.cumsum(lengths)))])
-        return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+        begin = np.searchsorted(at, np.concatenate(([0], ends)))  # of each distinct word's ids
+        many = np.diff(begin)
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        words = np.fromiter(map(place.__getitem__, chain.from_iterable(found)), np.int64, int(counts.sum()))
+        n = many[words]
+        to = np.cumsum(n)
+        flat = ids[np.repeat(begin[words] - (to - n), n) + np.arange(int(to[-1]))]
+        bounds = np.concatenate(([0], to))[np.concatenate(([0], np.cumsum(counts)))]
+        return [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
 _LOADED: dict[str, ByteBpe] = {}
@@ -182,7 +190,8 @@ def encode_column(df: DataFrame, key: str, text: str, vocabulary: str = "byte_bp
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer_path(vocabulary, folder))
         for b in batches:
-            sizes = [len(t) if t else 0 for t in b.column(1).to_pylist()]
+            texts = b.column(1).to_pylist()
+            sizes = [len(t) if t else 0 for t in texts]
             at = 0
             while at < b.num_rows:
                 to, held = at, 0
@@ -190,7 +199,7 @@ def encode_column(df: DataFrame, key: str, text: str, vocabulary: str = "byte_bp
                     held += 3 * sizes[to]
                     to += 1
                 part = b.slice(at, to - at)
-                ids = bpe.encode(part.column(1).to_pylist())
+                ids = bpe.encode(texts[at:to])
                 flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
