@@ -41,12 +41,16 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the cluster names.
+    """Cut the lineage with a reliable checkpoint in the folder that the cluster names in spark.checkpoint.dir.
 
-    Only where no folder is configured (tests, a notebook) a temporary one is set.
+    Where none is set, a temporary folder serves a local master only; on a cluster the executors could not share it.
     """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="labelloom-checkpoint-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="labelloom-checkpoint-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
