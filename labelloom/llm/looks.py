@@ -26,6 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
+from labelloom.operators.skew import salted_join
+from labelloom.session import checkpointed
+
 #: Letters of other scripts (left) with the shape of a Latin letter (right).
 LOOKALIKES = (
     "Аa Вb Еe Кk Мm Нh Оo Рp Сc Тt Хx Ѕs Іi Јj Ԍg Ԛq Ԝw Үy "  # Cyrillic capitals, shown by the lower-case letter
@@ -192,27 +195,62 @@ def with_look(df: DataFrame, text: str, look: str = "look") -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def same_look_pairs(rows: DataFrame, groups: list[str], key: str, text: str, hot_rows: int = 2_000) -> DataFrame:
-    """(rec_a, rec_b): pairs of different ids within ``groups`` whose texts look the same and are different strings.
+def written_looks(rows: DataFrame, groups: list[str], key: str, text: str) -> DataFrame:
+    """(groups, id, txt, look): each id with the 128-bit digests of its text and of its look, blank looks left out.
 
-    Only looks written in at least two ways are joined. Such a look with more than ``hot_rows`` rows has its rows
-    spread over salts on one side and repeated on the other, so no task holds all of its pairs.
+    From here on texts are only compared, so their digests travel in their place. They are written once: every text is
+    read and folded a single time, whatever reads them afterwards.
     """
     base = rows.where(F.col(key).isNotNull() & F.col(text).isNotNull() & (F.length(F.trim(text)) > 0)).select(
         *groups, F.col(key).alias("id"), F.col(text).alias("txt")
     )
     for g in groups:
         base = base.where(F.col(g).isNotNull())
-    # from here on texts are only compared, so their 128-bit digests travel in their place
     digest = lambda c: F.unhex(F.md5(c)).alias(c)
-    looks = with_look(base, "txt").where(F.length(F.trim("look")) > 0).select(*groups, "id", digest("txt"), digest("look"))
+    return checkpointed(with_look(base, "txt").where(F.length(F.trim("look")) > 0).select(*groups, "id", digest("txt"), digest("look")))
+
+
+def look_counts(looks: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n_ids, n_forms): looks written in at least two ways, with their distinct (id, text) and texts.
+
+    Both counts are combined map-side over (look, text), so a look of a third of all rows is one row per map task and text.
+    """
+    ids = looks.groupBy(*by, "txt", "id").agg(F.lit(1).alias("one"))
+    forms = ids.groupBy(*by, "txt").agg(F.count(F.lit(1)).alias("n"))
+    return forms.groupBy(*by).agg(F.sum("n").alias("n_ids"), F.count(F.lit(1)).alias("n_forms")).where(F.col("n_forms") > 1)
+
+
+def same_look_classes(rows: DataFrame, groups: list[str], key: str, text: str) -> DataFrame:
+    """(groups, id, class_id, n_forms, n_links): each id that looks like another one but is written differently.
+
+    ``class_id`` is the look's digest, ``n_forms`` in how many ways the look is written, ``n_links`` how many (id, text)
+    of the class are written otherwise. One row per id and text, whatever the size of the class.
+    """
+    looks = written_looks(rows, groups, key, text)
+    by = [*groups, "look"]
+    own = looks.groupBy(*by, "txt").agg(F.countDistinct("id").alias("own"))
+    classes = look_counts(looks, by)
+    linked = own.join(classes, by).select(*by, "txt", "own", "n_ids", "n_forms")
+    member = looks.groupBy(*by, "txt", "id").agg(F.lit(1).alias("one")).drop("one")
+    return salted_join(member, linked, [*by, "txt"], F.col("id"), "inner").select(
+        *groups, "id", F.lower(F.hex("look")).alias("class_id"), "n_forms", (F.col("n_ids") - F.col("own")).alias("n_links")
+    )
+
+
+def same_look_pairs(rows: DataFrame, groups: list[str], key: str, text: str, hot_rows: int = 2_000) -> DataFrame:
+    """(rec_a, rec_b): pairs of different ids within ``groups`` whose texts look the same and are different strings.
+
+    Only looks written in at least two ways are joined. Such a look with more than ``hot_rows`` rows has its rows
+    spread over salts on one side and repeated on the other, so no task holds all of its pairs.
+    """
+    looks = written_looks(rows, groups, key, text)
     by = [*groups, "look"]
     # Hot looks are known only after counting; the count is combined map-side and never larger than the distinct looks.
     ways = looks.groupBy(*by).agg(F.min("txt").alias("lo"), F.max("txt").alias("hi"), F.count(F.lit(1)).alias("n"))
     several = ways.where(F.col("lo") != F.col("hi")).select(
         *by, F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(hot_rows))).cast("int").alias("parts")
     )
-    written = looks.join(several, by).groupBy(*by, "id", "txt").agg(F.max("parts").alias("parts"))
+    written = salted_join(looks, several, by, F.xxhash64("id", "txt"), "inner").groupBy(*by, "id", "txt").agg(F.max("parts").alias("parts"))
     left = written.withColumn("part", F.pmod(F.xxhash64("id", "txt"), F.col("parts")).cast("int")).drop("parts")
     right = written.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     a = left.select(*by, "part", F.col("id").alias("rec_a"), F.col("txt").alias("txt_a"))

@@ -21,6 +21,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return looks.same_look_pairs(_span_and_candidate_texts(spark, d), ["tbl", "job_id"], "rec", "txt")
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each record whose look is written in several ways, with its class and its number of links."""
+    return looks.same_look_classes(_span_and_candidate_texts(spark, d), ["tbl", "job_id"], "rec", "txt")
+
+
 def p1_forms(spark: SparkSession, d: str) -> DataFrame:
     """Every text with its one form."""
     return looks.with_look(_span_and_candidate_texts(spark, d).select("tbl", "rec", "txt"), "txt")
@@ -72,6 +77,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p1_classes": p1_classes,
     "p1_forms": p1_forms,
     "p4_found": p4_found,
     "p4_unmatched": p4_unmatched,

@@ -53,3 +53,16 @@ def test_pairs_equal_brute_force(spark):
     for hot in (2, 10_000):
         assert rows(looks.same_look_pairs(df, ["job"], "rec", "txt", hot)) == sorted(want)
     assert looks.same_look_pairs(df.where("false"), ["job"], "rec", "txt").count() == 0
+
+
+def test_classes_hold_all_links(spark):
+    data = [(f"s{n}", f"j{n % 3}", t) for n, t in enumerate(["Net", "Νet", "Net", "Ｎet", None, " ", "net"] * 6)] + [("s0", "j0", "Net"), (None, "j0", "Net")]
+    df = spark.createDataFrame(data, "rec string, job string, txt string")
+    pairs = rows(looks.same_look_pairs(df, ["job"], "rec", "txt"))
+    got = looks.same_look_classes(df, ["job"], "rec", "txt").collect()
+    want = {}
+    for a, b in pairs:
+        want[a], want[b] = want.get(a, 0) + 1, want.get(b, 0) + 1
+    assert {r.id: r.n_links for r in got} == want and len(got) == len(want)
+    assert len({r.class_id for r in got}) == 1 and {r.n_forms for r in got} == {3}
+    assert looks.same_look_classes(df.where("false"), ["job"], "rec", "txt").count() == 0
