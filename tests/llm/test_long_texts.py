@@ -17,7 +17,7 @@ TEXTS = {
 def test_linear(name):
     text = TEXTS[name]
     gazetteer = places.Gazetteer({"p": set(), "c": {"linyang"}, "d": set()}, {})
-    v = scans.Vocabulary({"street": 9, "#": 50}, {}, {"cold-pressed"})
+    v = scans.Vocabulary({"street": 9, "#": 50}, {}, (2, 2))
     tree, listed, finder = residue.TemplateTree(), canon.Canon([(1, ["产品名称"])]), leaks.LeakFinder([(1, "abc字" * 60)])
     began = time.perf_counter()
     gazetteer.read(text)
@@ -25,7 +25,7 @@ def test_linear(name):
     residue.is_residue(text, tree)
     listed.resolve(text)
     v.misread(text)
-    v.broken(text, None)
+    scans.broken_end(text, None)
     scans.page_number_alone(text)
     scans.split_header(text)
     finder.leaked(text)
