@@ -40,6 +40,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
 
 
+def balanced(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as the session shuffles to, at least one per core, where adaptive execution would
+    merge them by their few bytes although each row is dear."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder that the cluster names in spark.checkpoint.dir.
 
