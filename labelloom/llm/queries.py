@@ -63,6 +63,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return places.same_places(table(spark, d, "enterprises"), "record_id", "address_raw")
 
 
+def p7_places(spark: SparkSession, d: str) -> DataFrame:
+    """Each record that shares its place with others, with the place's first record and its number of links."""
+    return places.place_classes(table(spark, d, "enterprises"), "record_id", "address_raw")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_column(table(spark, d, "documents"), "doc_id", "text")
 
@@ -84,6 +89,7 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_paragraphs": p5_paragraphs,
     "p7_found": p7_found,
+    "p7_places": p7_places,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p10_found": p10_found,

@@ -14,14 +14,14 @@ TEXTS = {
 
 
 @pytest.mark.parametrize("name", list(TEXTS))
-def test_linear(name):
+def test_linear(name, spark):
     text = TEXTS[name]
-    gazetteer = places.Gazetteer({"p": set(), "c": {"linyang"}, "d": set()}, {})
+    gazetteer = places.Gazetteer({"p": set(), "c": {"linyang"}, "d": set()}, {}, places.spelling(spark))
     v = scans.Vocabulary({"street": 9, "#": 50}, {}, (2, 2))
     tree, listed, finder = residue.TemplateTree(), canon.Canon([(1, ["产品名称"])]), leaks.LeakFinder([(1, "abc字" * 60)])
     began = time.perf_counter()
     gazetteer.read(text)
-    places.marked_names(text)
+    places.marked_names(text, gazetteer.spelling)
     residue.is_residue(text, tree)
     listed.resolve(text)
     v.misread(text)
