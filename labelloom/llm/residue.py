@@ -63,12 +63,12 @@ _FILLER_UNIT = re.compile(
 _KEYS = re.compile(r"(?>qwerty|asdf|qwer|zxcv|hjkl|jkl;|lkj|asd|foo|bar|baz|testing|test|测试(?:数据)?|xxx++|aaa++|bbb++|abc|[;\s]++|\d++)++", re.I)
 
 _SLOTS = re.compile(
-    r"\{\{[^{}\n]*\}\}|\$\{[^{}\n]*\}|\$\[[^\[\]\n]*\]|\[\[[^\[\]\n]*\]\]|<%=?[^%\n]*%>|<<\s*[\w. ]{1,40}\s*>>|«[^»\n]{1,40}»"
-    r"|\{(?:\d{1,2}|%?[sd]|[A-Za-z_][\w.]{0,40})\}|%[A-Z][A-Z_]{2,40}%|@@\w{1,40}@@|(?<!\w)__[A-Z][A-Z_]{1,40}__(?!\w)"
+    r"\{\{[^{}\n]*\}\}|\$\{[^{}\n]*\}|\$\[[^\[\]\n]*\]|\[\[[^\[\]\n]*\]\]|<%=?[^%\n]*%>|<<\s*[\w. ]{1,40}\s*>>|«[^»\n]+»"
+    r"|\{(?:\d{1,2}|%?[sd]|[A-Za-z_][\w.]{0,40})\}|%[A-Z][A-Z_]{2,}%|%[A-Za-z]+(?:_[A-Za-z]+)+%|@@\w{1,40}@@|(?<!\w)__[A-Z][A-Z_]{1,40}__(?!\w)"
     r"|#(?:NAME\?|REF!|VALUE!|DIV/0!|N/A|NULL!|NUM!)|(?<![\w%])%[sd](?!\w)"
-    r"|[\[【<（(〔{][ ]*(?:请|此处|这里|在此|待)(?:在此)?(?:处)?(?:填写|输入|填入|填|补充|插入|替换|选择|录入|定)[^\]】>）)〕}\n]{0,30}[\]】>）)〕}]"
-    r"|\[(?:INSERT|ENTER|ADD|YOUR|TBD|TODO|PLACEHOLDER)\b[^\]\n]{0,40}\]|\[(?:Company|Product|Brand|Client|Customer|Your|Insert|Enter)\b[^\]\n]{0,30}\]"
-    r"|<(?:your|insert|enter|please)\b[^>\n]{0,40}>|(?<!_)_{6,}(?!_)|\bTODO\s*[:：]|\bFIXME\b|\bLorem (?:text|ipsum)\b|示例[:：]\s*某|某某牌|X{4,}(?=有限|公司|牌|市|路|号|$)"
+    r"|[\[【<（(〔{][ ]*(?:请|此处|这里|在此|待)(?:在此)?(?:处)?(?:填写|输入|填入|填|补充|插入|替换|选择|录入|定)[^\]】>）)〕}\n]*[\]】>）)〕}]"
+    r"|\[(?:INSERT|ENTER|ADD|YOUR|TBD|TODO|PLACEHOLDER)\b[^\]\n]*\]|\[(?:Company|Product|Brand|Client|Customer|Your|Insert|Enter)\b[^\]\n]*\]"
+    r"|<(?:your|insert|enter|please)\b[^>\n]*>|(?<!_)_{6,}(?!_)|\bTODO\s*[:：]|\bFIXME\b|\bLorem (?:text|ipsum)\b|示例[:：]\s*某|某某牌|X{4,}(?=有限|公司|牌|市|路|号|$)"
     r"|\bundefined undefined\b",
 )
 #: What a text with a slot has at least one of; most texts have none and are not searched further.
@@ -79,7 +79,7 @@ _EMPTY_VALUE = re.compile(r"^[^:：\n]{1,30}[:：]\s*(?:undefined|null|NaN|None|
 #: Page furniture that goes with a notice and is no content.
 _NAVIGATION = re.compile(
     r"^(?:(?:返回(?:上一页|首页)?|首页|登录|注册|帮助|登出|搜索|菜单|刷新|重试|关闭|联系我们|menu|search|sign in|sign up|log ?in|home|back|help|"
-    r"labels?|detail|details|retry|标签库|详情)[\s|/>·»‹›-]*)+$|^(?:©|\(c\)|copyright).*$|^(?:加载失败|加载中|loading)\W*$",
+    r"labels?|detail|details|retry|标签库|详情)[\s|/>·»‹›-]*)+$|^(?:©|\(c\)|copyright).*$|^(?:加载失败|加载中|loading)\W*$|^(?:nginx|openresty|apache|tomcat|iis|varnish|cloudflare)(?:[ /][\w.<>/ ()-]{0,60})?$",
     re.I,
 )
 
@@ -100,14 +100,16 @@ _NOTICE = [
         # permission and session
         r"access (?:is )?denied|^forbidden|do not have permission|permission denied|unauthori[sz]ed access|^\W*<n> forbidden|please (?:log|sign) in to (?:view|continue)|session (?:has )?(?:expired|timed out)",
         r"权限不足|没有(?:访问)?权限|无权(?:访问|查看)|会话已(?:过期|失效)|登录(?:已)?(?:过期|失效|超时)|请(?:重新)?登录后",
+        # gates, connections and works on the site
+        r"you (?:have been|are|were) (?:temporarily )?(?:blocked|banned|rate.?limited)|unusual traffic|(?:site|page|website|server|connection)\b.{0,20}(?:can.?t|cannot|could not) be (?:reached|established|displayed|loaded)|(?:took|taking) too long to respond|\b(?:err|dns)_[a-z_]{4,}",
+        r"error establishing a .{0,20}connection|(?:unable|failed|could not) (?:to )?connect to|connection (?:was )?(?:refused|reset|timed out)|request (?:could not be|cannot be|was not) (?:satisfied|processed|completed)|^\W*(?:<n>\W+)?(?:bad request|method not allowed|request time-?out|gone)\W*$",
+        r"(?:site|page|website|service|system|server) (?:is )?(?:currently |temporarily )?(?:down|closed|offline|under(?:going)?)\b.{0,30}(?:maintenance|construction|upgrade)|(?:site|website) is (?:currently |temporarily )?(?:down|offline|unavailable)|if you are not (?:automatically )?redirected",
+        r"(?:网站|站点|页面|系统|平台|服务)(?:正在|正)?(?:维护|升级|建设|施工)(?:中|升级)|无法(?:访问|连接|打开)(?:此|该|到|您)|(?:该|此)?(?:页面|网页|内容|文章|商品)(?:已过期|出错|已下架|已被?删除|无法(?:访问|打开|显示))|访问(?:过于)?频繁|您的(?:访问|请求|ip).{0,10}(?:被拒绝|被拦截|受限|异常)|没有自动跳转",
         # programs
         r"^traceback \(most recent|^file (?:<q>|\"[^\"]+\"), line <n>|^at [\w.$<>]+\([\w.<>: ]*\)|^(?:[\w.]+\.)?\w*(?:exception|error)\b\s*(?::.*)?$|^caused by:|sqlstate|query failed near|segmentation fault|fatal error|stack trace",
         r"unexpected error (?:has )?occurred|an error (?:has )?occurred|something went wrong|application error|^oops\b",
     )
 ]
-#: A sentence that tells of such a thing is not the thing itself.
-_REPORTED = re.compile(r"已(?:恢复|改正|逐一|处理|替换)|曾返回|一栏记录|last month|were rebuilt|rechecked|with and without|which is correct|版本.{0,12}更新内容|so the .{0,30}test covered")
-
 ORDINARY, NOTICE, NAVIGATION, FILLER = range(4)
 
 
@@ -123,7 +125,7 @@ def classify(template: str) -> int:
     t = template.strip().lstrip(">•*- ").strip()
     if _NAVIGATION.match(t):
         return NAVIGATION
-    if not _REPORTED.search(t) and any(p.search(t) for p in _NOTICE):
+    if any(p.search(t) for p in _NOTICE):
         return NOTICE
     return ORDINARY
 
@@ -196,7 +198,7 @@ class TemplateTree:
 
     def _verdict(self, m: str) -> int:
         v = classify(m)
-        if v == ORDINARY and self.leaves and not _REPORTED.search(m):
+        if v == ORDINARY and self.leaves:
             tokens = _TOKENS.findall(m)
             if any(_likeness(t, tokens) >= ALIKE for t in self.leaves.get(_leaf(tokens), ())):
                 return NOTICE

@@ -5,11 +5,14 @@ CASES = [
     "404 Not Found\nThe requested label page could not be located on this server.", "请启用 JavaScript 才能正常浏览", "返回上一页\n您访问的标签页面不存在或已被移除，请返回首页。", "此处为占位文字此处为占位文字",
     "产品介绍\nlorem dolor sit amet sed magna elit tempor\n产地：甲", "asdf;lkj\nqwerty\n测试数据5", "HTTP Error 502 - gateway did not respond in time. Ref 1-2.", "Traceback (most recent call last):\n  File \"a_1.py\", line 3, in build\nKeyError: 'x'",
     "系统繁忙，请稍后再试。错误代码：E7", "CHECKING YOUR BROWSER BEFORE OPENING THE LABEL VIEWER.", "产地：undefined", "Replace this paragraph with your own copy. ", "测试测试测试测",
+    "Sorry, you have been blocked", "This site can’t be reached", "网站正在维护中", "Error establishing a database connection", "Dear %recipient_name%, your label is ready.",
+    "502 Bad Gateway\nnginx", "ERR_CONNECTION_TIMED_OUT\nexample took too long to respond.", "【请填写" + "产地、生产日期、批号和" * 9 + "其余项目】", "无法访问此网站", "The website is currently down for scheduled maintenance.",
 ]
 OTHERS = [
     None, "", "  \n", "<|endoftext|>", "产地：甲 <|endoftext|> 商标：乙", "模板中的占位符在送审前已由标签组全部替换，抽查3处未见遗漏。", "导出时系统曾返回404，编辑重启服务后已恢复，结果重新比对无误。",
     "The export job logged error 404 12 times last month, and all 3 labels were rebuilt and rechecked.", "包装底部预留的“请填写生产日期”方框属于印刷内容，须原样保留。", "The table lists energy at 404 kJ and protein at 2 g per serving.",
     "The viewer works with and without JavaScript, so the verification test covered both.", "Page not numbered: the back panel has no printed page mark, which is correct.", "净含量：100 g\n贮存条件：常温", "样盒尺寸为10×2×3厘米（见图），净重5%",
+    "The blocked label was reprinted after the site visit.", "维护记录一栏空白，已补签。",
     "普通的一段文字。\n404 Not Found 是测试中引用的一行说明。",
 ]
 
