@@ -20,7 +20,9 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import cache
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -110,6 +112,24 @@ _NOTICE = [
         r"unexpected error (?:has )?occurred|an error (?:has )?occurred|something went wrong|application error|^oops\b",
     )
 ]
+#: What a notice has at least one of, in small letters; other lines are not matched with the patterns.
+_NOTICE_HINTS = (
+    "script 脚本 cookie 浏览器 browser human 验证 not+found could+not cannot can't can’t can+not no+longer+exists has+moved 不存在 移除 删除 找不到 走丢 error status gateway "
+    "unavailable too+many+requests slow+down try+again 服务器 系统 稍后 数据库 超时 失败 网络 denied forbidden permission unauthori sign+in log+in expired timed+out 权限 无权 会话 登录 "
+    "traceback exception caused+by sqlstate query+failed segmentation stack+trace went+wrong oops blocked banned limited unusual+traffic reached established displayed loaded respond "
+    "err_ dns_ connect request method+not+allowed gone maintenance construction upgrade down closed offline redirected 维护 升级 建设 施工 无法 已过期 出错 已下架 频繁 您的 跳转"
+)
+
+
+@cache
+def _hints() -> ahocorasick.Automaton:
+    a = ahocorasick.Automaton()
+    for h in _NOTICE_HINTS.split():
+        a.add_word(h.replace("+", " "), True)
+    a.make_automaton()
+    return a
+
+
 ORDINARY, NOTICE, NAVIGATION, FILLER = range(4)
 
 
@@ -125,7 +145,9 @@ def classify(template: str) -> int:
     t = template.strip().lstrip(">•*- ").strip()
     if _NAVIGATION.match(t):
         return NAVIGATION
-    if any(p.search(t) for p in _NOTICE):
+    low = t.lower()
+    hinted = low.startswith(("at ", "file ")) or next(_hints().iter(low), None) is not None
+    if hinted and any(p.search(t) for p in _NOTICE):
         return NOTICE
     return ORDINARY
 

@@ -1,3 +1,4 @@
+from labelloom.llm import residue
 from labelloom.llm.residue import WILDCARD, TemplateTree, is_residue, merged, mined_templates, residue_documents
 
 CASES = [
@@ -23,6 +24,11 @@ def test_cases():
     assert [t for t in OTHERS if is_residue(t, tree)] == []
 
 
+def test_hints_hide_no_notice():
+    lines = [residue.masked(x.strip()) for t in CASES + OTHERS if t for x in t.splitlines()]
+    assert all(residue.classify(x) in (residue.NOTICE, residue.NAVIGATION) for x in lines if any(p.search(x) for p in residue._NOTICE))
+
+
 def test_verdicts_do_not_depend_on_order():
     one, other = TemplateTree(), TemplateTree()
     texts = [t for t in CASES + OTHERS if t]
