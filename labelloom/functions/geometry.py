@@ -85,3 +85,18 @@ def strict_hull(box: str) -> list[Column]:
 def column_side(x: Column, split: float = 0.48) -> Column:
     """'left' or 'right' of a two-column page."""
     return F.when(x < split, "left").otherwise("right")
+
+
+def centre(box: Column) -> tuple[Column, Column]:
+    """(x, y) of a page box's middle; 0 for a missing one."""
+    return F.coalesce(box["x"] + box["width"] / 2, F.lit(0.0)), F.coalesce(box["y"] + box["height"] / 2, F.lit(0.0))
+
+
+def within(box: Column, outer: Column, margin: float = 0.0) -> Column:
+    """Whether a box lies in another one, inside margins of this share of its size; false if either is missing."""
+    w, h = outer["width"] * margin, outer["height"] * margin
+    return F.coalesce(
+        (box["x"] >= outer["x"] + w) & (box["x"] + box["width"] <= outer["x"] + outer["width"] - w)
+        & (box["y"] >= outer["y"] + h) & (box["y"] + box["height"] <= outer["y"] + outer["height"] - h),
+        F.lit(False),
+    )

@@ -6,10 +6,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from labelloom.plans import catalogue, data_queries
+from labelloom.plans import catalogue, data_queries, engine_queries
 
-QUERIES = {**catalogue.QUERIES, **data_queries.QUERIES}
-SQL = {**catalogue.SQL, **data_queries.SQL}
+QUERIES = {**catalogue.QUERIES, **data_queries.QUERIES, **engine_queries.QUERIES}
+SQL = {**catalogue.SQL, **data_queries.SQL, **engine_queries.SQL}
 
 
 @pytest.fixture(scope="module")
