@@ -22,6 +22,9 @@ class Rule:
     target: str
     failures: Callable[[dict[str, DataFrame]], DataFrame]
     level: str = "high"
+    #: Of a row rule its (key, codes), of a reference rule its (key, refs, to): rules of one table share a scan.
+    codes: tuple[str, dict[str, Column]] | None = None
+    refs: tuple[str, Column, list[tuple[str, str]]] | None = None
 
 
 def row_rule(check: str, table: str, key: str, codes: dict[str, Column], level: str = "high") -> Rule:
@@ -31,7 +34,7 @@ def row_rule(check: str, table: str, key: str, codes: dict[str, Column], level:
         found = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in codes.items()]))
         return t[table].select(F.col(key).cast("string").alias("target_id"), F.explode(found).alias("code")).distinct()
 
-    return Rule(check, table, failures, level)
+    return Rule(check, table, failures, level, codes=(key, codes))
 
 
 def unique_rule(check: str, table: str, key: str, by: list[str] | None = None, level: str = "high") -> Rule:
@@ -64,18 +67,20 @@ def reference_rule(check: str, table: str, key: str, refs: Column, to: list[tupl
             .distinct()
         )
 
-    return Rule(check, table, failures, level)
+    return Rule(check, table, failures, level, refs=(key, refs, to))
 
 
 def text_rule(check: str, table: str, key: str, text: str, refs: str, evidence: str, evidence_key: str, source: str, level: str = "high") -> Rule:
-    """The letters of ``text`` stand in the text of at least one referenced evidence."""
+    """The letters of ``text`` stand in the text of at least one referenced evidence; a reference that leads nowhere holds
+    none. Rows without text or without references are left to other rules."""
 
     def failures(t: dict[str, DataFrame]) -> DataFrame:
         squeeze = lambda c: F.regexp_replace(c, r"\s+", "")
-        named = t[table].select(F.col(key).cast("string").alias("target_id"), squeeze(F.col(text)).alias("t"), F.explode(refs).alias("ref"))
-        seen = named.join(t[evidence].select(F.col(evidence_key).alias("ref"), squeeze(F.col(source)).alias("s")), "ref")
+        rows = t[table].where(F.trim(text) != "")
+        named = rows.select(F.col(key).cast("string").alias("target_id"), squeeze(F.col(text)).alias("t"), F.explode(refs).alias("ref"))
+        seen = named.join(t[evidence].select(F.col(evidence_key).alias("ref"), squeeze(F.col(source)).alias("s")), "ref", "left")
         return (
-            seen.groupBy("target_id").agg(F.bool_or(F.contains("s", "t")).alias("ok")).where(~F.col("ok"))
+            seen.groupBy("target_id").agg(F.bool_or(F.coalesce(F.contains("s", "t"), F.lit(False))).alias("ok")).where(~F.col("ok"))
             .select("target_id", F.lit("text_not_in_evidence").alias("code"))
         )
 
@@ -102,14 +107,63 @@ def aggregate_rule(check: str, table: str, wrong: Column, level: str = "high") -
     return Rule(check, table, failures, level)
 
 
+_FAILURE = ["check", "target_type", "target_id", "code", "level"]
+
+
+def _row_failures(name: str, rules: list[Rule], df: DataFrame) -> DataFrame:
+    """All row rules of a table in one scan."""
+    found = []
+    for r in rules:
+        key, codes = r.codes
+        for code, wrong in codes.items():
+            one = F.struct(F.lit(r.check).alias("check"), F.col(key).cast("string").alias("target_id"), F.lit(code).alias("code"), F.lit(r.level).alias("level"))
+            found.append(F.when(F.coalesce(wrong, F.lit(False)), one))
+    out = df.select(F.explode(F.array_compact(F.array(*found))).alias("f"))
+    return out.select("f.check", F.lit(name).alias("target_type"), "f.target_id", "f.code", "f.level").distinct()
+
+
+def _named_by(r: Rule, sets: list) -> Callable[[Column], Column]:
+    of = sets.index(tuple(r.refs[2]))
+    return lambda x: F.struct(
+        F.lit(r.check).alias("check"), F.col(r.refs[0]).cast("string").alias("target_id"), F.lit(r.level).alias("level"), F.lit(of).alias("of"), x.alias("ref")
+    )
+
+
+def _reference_failures(rules: list[Rule], tables: dict[str, DataFrame]) -> DataFrame:
+    """All reference rules in one anti-join: references of a table come from one scan, keys of a table are read once."""
+    sets = list(dict.fromkeys(tuple(r.refs[2]) for r in rules))
+    named = None
+    for name in dict.fromkeys(r.target for r in rules):
+        own = [r for r in rules if r.target == name]
+        arrays = [F.transform(F.coalesce(r.refs[1].cast("array<string>"), F.array().cast("array<string>")), _named_by(r, sets)) for r in own]
+        one = tables[name].select(F.lit(name).alias("target_type"), F.explode(F.concat(*arrays)).alias("f")).select("target_type", "f.*").where(F.col("ref").isNotNull())
+        named = one if named is None else named.unionByName(one)
+    known = None
+    for table, column in dict.fromkeys(x for to in sets for x in to):
+        of = F.array(*[F.lit(n) for n, to in enumerate(sets) if (table, column) in to])
+        k = tables[table].select(F.explode(of).alias("of"), F.col(column).cast("string").alias("ref"))
+        known = k if known is None else known.unionAll(k)
+    return (
+        named.join(known.distinct(), ["of", "ref"], "left_anti")
+        .select("check", "target_type", "target_id", F.lit("unknown_reference").alias("code"), "level")
+        .distinct()
+    )
+
+
 def failures_of(rules: list[Rule], tables: dict[str, DataFrame]) -> DataFrame:
     """(check, target_type, target_id, code, level) of all failures of all rules."""
-    out = None
+    parts = []
+    rows = [r for r in rules if r.codes]
+    for name in dict.fromkeys(r.target for r in rows):
+        parts.append(_row_failures(name, [r for r in rows if r.target == name], tables[name]))
+    if refs := [r for r in rules if r.refs]:
+        parts.append(_reference_failures(refs, tables))
     for r in rules:
-        f = r.failures(tables).select(
-            F.lit(r.check).alias("check"), F.lit(r.target).alias("target_type"), "target_id", "code", F.lit(r.level).alias("level")
-        )
-        out = f if out is None else out.unionAll(f)
+        if not r.codes and not r.refs:
+            parts.append(r.failures(tables).select(F.lit(r.check).alias("check"), F.lit(r.target).alias("target_type"), "target_id", "code", F.lit(r.level).alias("level")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p.select(*_FAILURE))
     return out
 
 

@@ -80,11 +80,14 @@ def sliding_frames(df: DataFrame, by: list[str], order: str, text: str, shortest
 
 
 def missing_numbers(df: DataFrame, by: list[str], number: str) -> DataFrame:
-    """(by..., missing): the integers between the least and the greatest that do not occur."""
-    spans = df.groupBy(*by).agg(F.min(number).alias("lo"), F.max(number).alias("hi"))
-    grid = spans.select(*by, F.explode(F.sequence("lo", "hi")).alias("missing"))
-    present = df.select(*by, F.col(number).alias("missing")).distinct()
-    return grid.join(present, [*by, "missing"], "left_anti")
+    """(by..., missing_from, missing_to): the ranges of integers between the least and the greatest that do not occur.
+
+    A range is one row however wide it is, so a wild number costs nothing. Null numbers are passed over.
+    """
+    present = df.where(F.col(number).isNotNull()).select(*by, F.col(number).alias("__n")).distinct()
+    after = F.lead("__n").over(Window.partitionBy(*by).orderBy("__n"))
+    gaps = present.withColumn("__next", after).where(F.col("__next") > F.col("__n") + 1)
+    return gaps.select(*by, (F.col("__n") + 1).alias("missing_from"), (F.col("__next") - 1).alias("missing_to"))
 
 
 def keep_best(df: DataFrame, by: list[str], better_first: list[Column]) -> DataFrame:

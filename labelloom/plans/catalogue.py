@@ -305,10 +305,10 @@ def instance_index(spark, d):
     return numbered.select("id", "instance_index", val.stable_id("item", F.col("n")).alias("stable_id"))
 
 
-@query("""WITH b AS (SELECT job_id, page, min(line_no) AS lo, max(line_no) AS hi FROM source_alignments GROUP BY 1, 2),
-  g AS (SELECT job_id, page, unnest(generate_series(lo, hi)) AS missing FROM b)
-  SELECT job_id, page, CAST(missing AS INT) AS missing FROM g WHERE NOT EXISTS (SELECT 1 FROM source_alignments a WHERE a.job_id = g.job_id AND a.page = g.page AND a.line_no = g.missing)""")
+@query("""SELECT job_id, page, line_no + 1 AS missing_from, nxt - 1 AS missing_to FROM (SELECT job_id, page, line_no, lead(line_no) OVER (PARTITION BY job_id, page ORDER BY line_no) AS nxt
+  FROM (SELECT DISTINCT job_id, page, line_no FROM source_alignments WHERE line_no IS NOT NULL)) WHERE nxt > line_no + 1""")
 def seq_gaps(spark, d):
+    """Line numbers that a page leaves out, as ranges."""
     return sequences.missing_numbers(table(spark, d, "source_alignments"), ["job_id", "page"], "line_no")
 
 
@@ -568,9 +568,52 @@ def _contract(spark, d):
     return {t: table(spark, d, t) for t in _CONTRACT_TABLES}
 
 
-@query()
+_BLANK = "({0} IS NULL OR trim({0}) = '')"
+
+
+def _row_sql(check: str, table: str, key: str, level: str, codes: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT DISTINCT '{check}' AS \"check\", '{table}' AS target_type, {key} AS target_id, '{code}' AS code, '{level}' AS level FROM {table} WHERE {wrong}" for code, wrong in codes.items())
+
+
+def _ref_sql(check: str, table: str, key: str, ref: str, known: list[str]) -> str:
+    among = " AND ".join(f"NOT EXISTS (SELECT 1 FROM {k.split('.')[0]} k WHERE k.{k.split('.')[1]} = x.ref)" for k in known)
+    return f"SELECT DISTINCT '{check}', '{table}', {key}, 'unknown_reference', 'high' FROM (SELECT {key}, {ref} AS ref FROM {table}) x WHERE ref IS NOT NULL AND {among}"
+
+
+def _unique_sql(check: str, table: str, key: str, by: str) -> str:
+    return f"SELECT '{check}', '{table}', {key}, 'duplicate', 'high' FROM (SELECT DISTINCT {key}, {by} FROM {table} WHERE {key} IS NOT NULL) GROUP BY {key} HAVING count(*) > 1"
+
+
+_SOURCES = ["text_spans.span_id", "source_alignments.ocr_line_id"]
+_CONTRACT_SQL = "f AS (" + " UNION ALL ".join([
+    _row_sql("evidence_contract", "evidence_items", "evidence_id", "high", {"no_text": _BLANK.format("source_text"), "bad_page": "(page IS NULL OR page < 1)", "no_method": "coalesce(len(extraction_methods), 0) = 0", "bad_bbox_status": "bbox_status NOT IN ('available', 'missing')"}),
+    _row_sql("standard_item_contract", "standard_items", "id", "medium", {"no_key": _BLANK.format("semantic_key"), "no_label": _BLANK.format("label"), "no_text": _BLANK.format("text"), "no_flag": "(comparison_required IS NULL OR review_required IS NULL)"}),
+    _row_sql("span_contract", "text_spans", "span_id", "low", {"no_text": _BLANK.format("text"), "bad_page": "(page IS NULL OR page < 1)", "bad_confidence": "NOT (confidence BETWEEN 0 AND 1)", "bad_source": "source NOT IN ('pdf_text', 'pdf_char_atom', 'ocr', 'xlsx_cell')"}),
+    _row_sql("span_bbox_contract", "text_spans", "span_id", "medium", {"empty_box": "(bbox_pdf.width <= 0 OR bbox_pdf.height <= 0)", "negative_box": "(bbox_pdf.x < 0 OR bbox_pdf.y < 0)", "beyond_page": "bbox_pdf.x + bbox_pdf.width > bbox_pdf.page_width"}),
+    _row_sql("alignment_contract", "source_alignments", "alignment_id", "high", {"no_line": _BLANK.format("ocr_line_id"), "bad_similarity": "NOT (text_similarity BETWEEN 0 AND 1)"}),
+    _row_sql("candidate_contract", "compare_candidates", "candidate_id", "high", {"no_text": _BLANK.format("text"), "bad_score": "NOT (score BETWEEN 0 AND 1)", "bad_box": "(bbox_normalized.x1 > bbox_normalized.x2 OR bbox_normalized.y1 > bbox_normalized.y2)"}),
+    _ref_sql("evidence_source_refs", "evidence_items", "evidence_id", "unnest(source_node_ids)", _SOURCES),
+    _ref_sql("standard_item_refs", "standard_items", "id", "unnest(evidence_refs)", ["evidence_items.evidence_id"]),
+    _ref_sql("standard_item_source_refs", "standard_items", "id", "unnest(source_ids)", _SOURCES),
+    _ref_sql("alignment_span_refs", "source_alignments", "alignment_id", "unnest(pdf_span_ids)", ["text_spans.span_id"]),
+    _ref_sql("candidate_target_refs", "compare_candidates", "candidate_id", "target_id", ["standard_items.id"]),
+    _ref_sql("candidate_line_refs", "compare_candidates", "candidate_id", "unnest(source_ocr_line_ids)", ["source_alignments.ocr_line_id"]),
+    _unique_sql("evidence_unique_ids", "evidence_items", "evidence_id", "source_text, page"),
+    _unique_sql("standard_item_unique_ids", "standard_items", "id", "semantic_key, text"),
+    _unique_sql("span_unique_ids", "text_spans", "span_id", "text, job_id"),
+    """SELECT 'standard_item_text_from_evidence', 'standard_items', id, 'text_not_in_evidence', 'medium' FROM (SELECT id, regexp_replace(text, '[\\s\\x0b]+', '', 'g') AS t, unnest(evidence_refs) AS ref FROM standard_items WHERE trim(text) <> '') n
+      LEFT JOIN evidence_items e ON e.evidence_id = n.ref GROUP BY id HAVING NOT bool_or(coalesce(contains(regexp_replace(source_text, '[\\s\\x0b]+', '', 'g'), t), false))""",
+    """SELECT DISTINCT 'compared_items_have_candidates', 'standard_items', id, 'no_route', 'medium' FROM standard_items i WHERE comparison_required AND NOT EXISTS (SELECT 1 FROM compare_candidates c WHERE c.target_id = i.id)""",
+    "SELECT 'items_present', 'standard_items', 'standard_items', 'aggregate', 'high' FROM standard_items HAVING count(*) = 0",
+]) + ")"
+_CHECKS = ["evidence_contract", "evidence_unique_ids", "evidence_source_refs", "standard_item_contract", "standard_item_unique_ids", "standard_item_refs", "standard_item_source_refs", "standard_item_text_from_evidence", "span_contract",
+           "span_bbox_contract", "span_unique_ids", "alignment_contract", "alignment_span_refs", "candidate_target_refs", "candidate_line_refs", "candidate_contract", "compared_items_have_candidates", "items_present"]
+
+
+@query(f"""WITH {_CONTRACT_SQL} SELECT n AS "check", CASE WHEN count(f.code) = 0 THEN 'passed' ELSE 'failed' END AS result, count(f.code) AS n_failures
+  FROM (SELECT unnest({_CHECKS}) AS n) LEFT JOIN f ON f."check" = n GROUP BY 1""")
 def contract_report(spark, d):
-    """Every check of the contract, passed or failed; the single checks below have SQL."""
+    """Every check of the contract, passed or failed."""
     return quality.contract_report(quality.project_contract(), _contract(spark, d))
 
 
@@ -589,7 +632,8 @@ def contract_evidence(spark, d):
     return rule.failures(_contract(spark, d))
 
 
-@query()
+@query(f"""WITH {_CONTRACT_SQL}, r AS (SELECT target_type, target_id, max(CASE level WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) AS k FROM f GROUP BY 1, 2)
+  SELECT target_type, CASE k WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS risk_level, count(*) AS n_risks, count(*) FILTER (k = 3 AND target_id IS NOT NULL) AS n_tasks FROM r GROUP BY 1, 2""")
 def risk_routing(spark, d):
     """Failed checks to risks, high risks to review tasks, counted."""
     risks = quality.risks_of(quality.failures_of(quality.project_contract(), _contract(spark, d)))

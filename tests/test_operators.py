@@ -9,7 +9,7 @@ def test_sequences(spark):
     df = spark.createDataFrame([("a", 1, "x", 1.0), ("a", 2, None, 1.5), ("a", 4, "y", 9.0), ("b", 1, None, 0.0)], "g string, o int, t string, v double")
     assert rows(sequences.carried(df, ["g"], ["o"], F.col("t"), "c").select("g", "o", "c")) == [("a", 1, "x"), ("a", 2, "x"), ("a", 4, "y"), ("b", 1, None)]
     assert rows(sequences.asof_marker(df, ["g"], ["o"], F.col("t").isNotNull(), "o").select("g", "o", "marker")) == [("a", 1, None), ("a", 2, 1), ("a", 4, 1), ("b", 1, None)]
-    assert rows(sequences.missing_numbers(df, ["g"], "o")) == [("a", 3)]
+    assert rows(sequences.missing_numbers(df, ["g"], "o")) == [("a", 3, 3)]
     assert rows(sequences.sliding_frames(df.na.fill("-"), ["g"], "o", "t", 2, 3).select("first", "n_lines", "text")) == [(1, 2, "x-"), (1, 3, "x-y"), (2, 2, "-y")]
     assert rows(sequences.mean_clusters(df, ["g"], "v", "o", 1.25).select("g", "o", "cluster_no")) == [("a", 1, 1), ("a", 2, 1), ("a", 4, 2), ("b", 1, 1)]
     assert rows(sequences.packed_chunks(df, ["g"], "o", "o", 2, 100).select("g", "o", "chunk_no")) == [("a", 1, 1), ("a", 2, 1), ("a", 4, 2), ("b", 1, 1)]
