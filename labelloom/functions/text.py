@@ -124,7 +124,9 @@ def containment_score(expected: Column, observed: Column) -> Column:
 
 def match_score(expected: Column, observed: Column, is_long: Column) -> Column:
     """How well an observed text answers an expected one; long texts also by token coverage, with floor and caps."""
-    ratio = sequence_ratio(expected, observed)
+    settled = (expected == "") | (observed == "") | (expected == observed) | ~is_long & (F.contains(observed, expected) | F.contains(expected, observed))
+    # Python sees nulls where the built-ins have settled the score
+    ratio = F.coalesce(sequence_ratio(F.when(~settled, expected), F.when(~settled, observed)), F.lit(0.0))
     long_score = F.greatest(ratio, F.coalesce(F.lit(0.25) + F.lit(0.65) * token_coverage(expected, observed), F.lit(0.0)))
     long_score = F.when(F.contains(observed, expected), F.greatest(long_score, F.lit(0.82))).otherwise(long_score)
     capped = F.contains(expected, observed) | (F.length(observed) < F.length(expected) * 0.55)

@@ -11,6 +11,10 @@ from labelloom.functions.text import compact, letters_only, sequence_ratio
 SIMILAR, CONTAINED, LOW_CONFIDENCE, OVERLAP = 0.72, 0.6, 0.8, 0.2
 
 
+#: Cells along each side of a page.
+CELLS = 32
+
+
 def canonical_spans(spans: DataFrame, lines: DataFrame, alignments: DataFrame) -> DataFrame:
     """(id, source): all page spans and those scanned lines that align with none."""
     matched = alignments.where(F.size("pdf_span_ids") > 0).select("ocr_line_id").distinct()
@@ -21,12 +25,15 @@ def canonical_spans(spans: DataFrame, lines: DataFrame, alignments: DataFrame) -
 def relation(alignments: DataFrame) -> DataFrame:
     """(alignment_id, relation): equal, contains, contained, similar or different by the compared letters."""
     a, b = letters_only(F.col("pdf_text")), letters_only(F.col("ocr_text"))
+    # a ratio that high needs lengths that near; Python sees nulls for all other pairs
+    near = 2 * F.least(F.length(a), F.length(b)) >= SIMILAR * (F.length(a) + F.length(b))
+    asked = near & (a != b) & ~F.contains(a, b) & ~F.contains(b, a)
     return alignments.select(
         "alignment_id",
         F.when(a == b, "equal")
         .when((b != "") & F.contains(a, b), "contains")
         .when((a != "") & F.contains(b, a), "contained")
-        .when(sequence_ratio(a, b) >= SIMILAR, "similar")
+        .when(sequence_ratio(F.when(asked, a), F.when(asked, b)) >= SIMILAR, "similar")
         .otherwise("different")
         .alias("relation"),
     ).distinct()
@@ -35,12 +42,16 @@ def relation(alignments: DataFrame) -> DataFrame:
 def best_overlap(boxes: DataFrame, spans: DataFrame, by: list[str], cell: float = 200.0) -> DataFrame:
     """(by..., line_id, span_id, overlap): for each box (line_id, box) the span (span_id, bbox) that it overlaps most.
 
-    A grid of ``cell`` points turns the spatial join into an equi-join: boxes meet only in cells that both touch.
+    A grid of ``cell`` points turns the spatial join into an equi-join: boxes meet only in cells that both touch. What
+    lies off the ``CELLS`` cells of a large page falls to the outermost ones, so no box is spread over more than those.
     """
 
     def cells(df: DataFrame, box: str) -> DataFrame:
+        def place(v):
+            return F.least(F.greatest(F.floor(v / cell), F.lit(0)), F.lit(CELLS - 1)).cast("int")
+
         def steps(lo, size):
-            return F.sequence(F.floor(lo / cell).cast("int"), F.floor((lo + size) / cell).cast("int"))
+            return F.sequence(place(lo), F.greatest(place(lo), place(lo + size)))
 
         b = F.col(box)
         present = df.where(b.isNotNull() & (b["width"] >= 0) & (b["height"] >= 0))
