@@ -192,7 +192,13 @@ def top5_candidates(spark, d):
     return compare.best_by_score(table(spark, d, "compare_candidates"))
 
 
-@query()
+@query("""WITH RECURSIVE one AS (SELECT job_id, target_id, candidate_id, max(score) AS score FROM compare_candidates WHERE target_id IS NOT NULL AND score IS NOT NULL GROUP BY 1, 2, 3),
+  o AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, target_id, candidate_id) AS rn FROM one),
+  r AS (SELECT job_id, rn, target_id, candidate_id, score, true AS ok, [target_id] AS tl, [candidate_id] AS tr FROM o WHERE rn = 1
+    UNION ALL SELECT o.job_id, o.rn, o.target_id, o.candidate_id, o.score, NOT list_contains(tl, o.target_id) AND NOT list_contains(tr, o.candidate_id),
+      CASE WHEN list_contains(tl, o.target_id) OR list_contains(tr, o.candidate_id) THEN tl ELSE list_append(tl, o.target_id) END, CASE WHEN list_contains(tl, o.target_id) OR list_contains(tr, o.candidate_id) THEN tr ELSE list_append(tr, o.candidate_id) END
+    FROM r JOIN o ON o.job_id IS NOT DISTINCT FROM r.job_id AND o.rn = r.rn + 1)
+  SELECT job_id, target_id, candidate_id, score FROM r WHERE ok""")
 def greedy_match(spark, d):
     """One-to-one pairs of targets and candidates within a job, best score first."""
     c = table(spark, d, "compare_candidates").where(F.col("target_id").isNotNull() & F.col("score").isNotNull())
@@ -312,7 +318,11 @@ def seq_gaps(spark, d):
     return sequences.missing_numbers(table(spark, d, "source_alignments"), ["job_id", "page"], "line_no")
 
 
-@query()
+@query(f"""WITH RECURSIVE o AS (SELECT job_id, page, coalesce(length(text), 0) AS n, row_number() OVER (PARTITION BY job_id, page ORDER BY ord, span_id) AS rn FROM ({_SPANS})),
+  r AS (SELECT job_id, page, rn, n, 1 AS chunk_no, 1 AS items, n AS held FROM o WHERE rn = 1
+    UNION ALL SELECT o.job_id, o.page, o.rn, o.n, CASE WHEN items >= 160 OR held + o.n > 12000 THEN chunk_no + 1 ELSE chunk_no END, CASE WHEN items >= 160 OR held + o.n > 12000 THEN 1 ELSE items + 1 END,
+      CASE WHEN items >= 160 OR held + o.n > 12000 THEN o.n ELSE held + o.n END FROM r JOIN o ON o.job_id IS NOT DISTINCT FROM r.job_id AND o.page IS NOT DISTINCT FROM r.page AND o.rn = r.rn + 1)
+  SELECT job_id, page, chunk_no, count(*) AS n_spans, CAST(sum(n) AS BIGINT) AS n_chars FROM r GROUP BY 1, 2, 3""")
 def packed_blocks(spark, d):
     """Consecutive spans of a page packed into blocks of at most 160 spans and 12 000 characters."""
     s = _one_spans(spark, d).withColumn("size", F.coalesce(F.length("text"), F.lit(0)))
@@ -320,7 +330,11 @@ def packed_blocks(spark, d):
     return chunks.groupBy("job_id", "page", "chunk_no").agg(F.count(F.lit(1)).alias("n_spans"), F.sum("size").alias("n_chars"))
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT DISTINCT job_id, page, span_id, bbox_pdf.y AS top FROM text_spans WHERE bbox_pdf IS NOT NULL), o AS (SELECT *, row_number() OVER (PARTITION BY job_id, page ORDER BY top, span_id) AS rn FROM s),
+  r AS (SELECT job_id, page, span_id, rn, 1 AS no, top AS total, 1 AS n FROM o WHERE rn = 1
+    UNION ALL SELECT o.job_id, o.page, o.span_id, o.rn, CASE WHEN abs(o.top - total / n) <= 1.25 THEN no ELSE no + 1 END, CASE WHEN abs(o.top - total / n) <= 1.25 THEN total + o.top ELSE o.top END, CASE WHEN abs(o.top - total / n) <= 1.25 THEN n + 1 ELSE 1 END
+    FROM r JOIN o ON o.job_id IS NOT DISTINCT FROM r.job_id AND o.page IS NOT DISTINCT FROM r.page AND o.rn = r.rn + 1)
+  SELECT span_id, no AS visual_line FROM r""")
 def baseline_clusters(spark, d):
     """Spans of a page gathered to visual lines by the running mean of their tops."""
     s = table(spark, d, "text_spans").where(F.col("bbox_pdf").isNotNull()).select("job_id", "page", "span_id", F.col("bbox_pdf.y").alias("top")).distinct()
@@ -781,14 +795,24 @@ def file_slugs(spark, d):
     return table(spark, d, "text_spans").where(F.col("file_name").isNotNull()).select("file_name", tx.slug(F.col("file_name")).alias("slug")).distinct()
 
 
-@query()
+_SEGMENT_LABELS = ["产品名称", "净含量", "保质期", "贮存条件", "产地", "配料", "规格", "商标", "警示语", "食用方法", "营养成分", "质量等级", "Product", "Net Wt.", "Storage", "Origin", "Energy"]
+_ANY_LABEL = "|".join(x.replace(".", "[.]") for x in sorted(_SEGMENT_LABELS, key=len, reverse=True))
+
+
+@query(f"""WITH ev AS (SELECT evidence_id, min(source_text) AS text FROM evidence_items WHERE evidence_id IS NOT NULL GROUP BY 1),
+  p AS (SELECT evidence_id, list_filter(string_split(regexp_replace(text, '({_ANY_LABEL})\\s*[:：]', chr(1) || '\\1' || chr(2), 'g'), chr(1)), lambda x: contains(x, chr(2))) AS ps FROM ev)
+  SELECT evidence_id, CAST(n AS INT) AS segment_no, split_part(x, chr(2), 1) AS label, trim(split_part(x, chr(2), 2), ' ') AS value FROM (SELECT evidence_id, unnest(ps) AS x, generate_subscripts(ps, 1) AS n FROM p)""")
 def label_segments(spark, d):
     """Lines of evidence cut at every known label."""
     ev = table(spark, d, "evidence_items").where(F.col("evidence_id").isNotNull()).groupBy("evidence_id").agg(F.min("source_text").alias("text"))
-    return layout.label_segments(ev, ["evidence_id"], "text", ["产品名称", "净含量", "保质期", "贮存条件", "产地", "配料", "规格", "商标", "警示语", "食用方法", "营养成分", "质量等级", "Product", "Net Wt.", "Storage", "Origin", "Energy"])
+    return layout.label_segments(ev, ["evidence_id"], "text", _SEGMENT_LABELS)
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT DISTINCT job_id, page, span_id, bbox_pdf.x AS x, bbox_pdf.y AS y FROM text_spans WHERE bbox_pdf IS NOT NULL), o AS (SELECT *, row_number() OVER (PARTITION BY job_id, page ORDER BY y, x, span_id) AS rn FROM s),
+  r AS (SELECT job_id, page, span_id, rn, 1 AS row_no, y AS top FROM o WHERE rn = 1
+    UNION ALL SELECT o.job_id, o.page, o.span_id, o.rn, CASE WHEN abs(o.y - top) <= 6 THEN row_no ELSE row_no + 1 END, CASE WHEN abs(o.y - top) <= 6 THEN top ELSE o.y END
+    FROM r JOIN o ON o.job_id IS NOT DISTINCT FROM r.job_id AND o.page IS NOT DISTINCT FROM r.page AND o.rn = r.rn + 1)
+  SELECT span_id, row_no FROM r""")
 def visual_rows(spark, d):
     """Spans of a page gathered to rows by the first span of each."""
     s = table(spark, d, "text_spans").where(F.col("bbox_pdf").isNotNull()).select("job_id", "page", "span_id", F.col("bbox_pdf.x").alias("x"), F.col("bbox_pdf.y").alias("y")).distinct()
