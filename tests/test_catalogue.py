@@ -6,10 +6,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from labelloom.plans import catalogue, data_queries, engine_queries
+from labelloom.plans import catalogue, contract_queries, data_queries, engine_queries
 
-QUERIES = {**catalogue.QUERIES, **data_queries.QUERIES, **engine_queries.QUERIES}
-SQL = {**catalogue.SQL, **data_queries.SQL, **engine_queries.SQL}
+QUERIES = {**catalogue.QUERIES, **data_queries.QUERIES, **engine_queries.QUERIES, **contract_queries.QUERIES}
+SQL = {**catalogue.SQL, **data_queries.SQL, **engine_queries.SQL, **contract_queries.SQL}
 
 
 @pytest.fixture(scope="module")
@@ -46,3 +46,9 @@ def test_entry(spark, data):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_most_checks_fail_somewhere(con):
+    """The derived form breaks nearly every check, so agreement with the SQL says something about each."""
+    failed = {r[0] for r in con.execute(SQL["contract_failures"]).fetchall()}
+    assert len(failed) >= 45

@@ -21,8 +21,29 @@ VALID = {
     "gate": [("d", False, "manual_review", 1, False)],
     "ocr_lines": [("l1", 1, "x", 0.5, "missing")],
     "ocr_blocks": [("b1", ["l1"], 1)],
+    "regions": [("rg", "front", "Front", 1, ["s1"], ["f1"])],
+    "nodes": [("rg", "region"), ("n1", "text_span")],
+    "edges": [("x1", "rg", "n1", "in_region")],
+    "candidate_nodes": [("n1", "text_span")],
+    "candidate_edges": [("x2", "n1", "n1", "self")],
+    "reports": [(r, "passed", "1") for r in ("vdg_quality", "vdg_context", "vdg_consumption", "scope_context", "scope_report", "layout_quality", "semantic_review")],
+    "group_texts": [("g", "i1", "10克")],
+    "auto_items": [("i1", "f1", "10克", ["e1"])],
 }
 MUTATIONS = [
+    ("job", "status", "null", {"job_contract"}),
+    ("metadata", "no_guessing", "false", {"no_guessing_policy"}),
+    ("regions", "source_span_ids", "array('zz')", {"region_source_refs"}),
+    ("regions", "artifact_ids", "array('zz')", {"region_artifact_refs"}),
+    ("nodes", "node_type", "null", {"visual_document_graph_contract"}),
+    ("edges", "target", "'zz'", {"visual_document_graph_contract_ends"}),
+    ("candidate_nodes", "node_type", "null", {"candidate_visual_document_graph_contract"}),
+    ("candidate_edges", "target", "'zz'", {"candidate_visual_document_graph_contract_ends"}),
+    ("reports", "status", "'failed'", {"vdg_quality_report_contract", "vdg_agent_context_contract", "vdg_consumption_report_contract", "label_text_scope_agent_context_contract", "label_text_scope_report_contract", "layout_evidence_contract", "semantic_review_contract"}),
+    ("group_texts", "text", "'x'", {"field_group_text_matches_standard_item"}),
+    ("auto_items", "field_id", "'zz'", {"auto_ingest_refs"}),
+    ("ocr_blocks", "line_ids", "array('zz')", {"ocr_block_refs"}),
+    ("risks", "target_id", "'zz'", {"risk_target_refs", "high_risk_review_tasks"}),
     ("evidence", "evidence_id", "null", {"evidence_contract", "field_evidence_refs", "standard_item_refs", "risk_evidence_refs"}),
     ("evidence", "has_bbox", "false", {"evidence_bbox_status_consistency"}),
     ("fields", "raw_value", "'12克'", {"field_text_from_evidence", "field_normalization_contract"}),
