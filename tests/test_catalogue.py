@@ -6,10 +6,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from labelloom.plans import catalogue, contract_queries, data_queries, engine_queries
+from labelloom.plans import catalogue, contract_queries, data_queries, engine_queries, structure_queries
 
-QUERIES = {**catalogue.QUERIES, **data_queries.QUERIES, **engine_queries.QUERIES, **contract_queries.QUERIES}
-SQL = {**catalogue.SQL, **data_queries.SQL, **engine_queries.SQL, **contract_queries.SQL}
+QUERIES = {**catalogue.QUERIES, **data_queries.QUERIES, **engine_queries.QUERIES, **structure_queries.QUERIES, **contract_queries.QUERIES}
+SQL = {**catalogue.SQL, **data_queries.SQL, **engine_queries.SQL, **structure_queries.SQL, **contract_queries.SQL}
 
 
 @pytest.fixture(scope="module")

@@ -71,3 +71,18 @@ def test_summaries(spark):
     assert rows(df.select(summaries.is_noise(F.col("v"), ["y"]))) == [(True,)] * 4
     ids = spark.createDataFrame([("table 10",), ("table 2",)], "t string")
     assert [r.t for r in ids.orderBy(*summaries.natural_order(F.col("t"))).collect()] == ["table 2", "table 10"]
+
+
+def test_page_structure(spark):
+    from labelloom.operators import structure
+
+    cols = "p int, span_id string, x double, y double, w double, h double, page_h double"
+    t = spark.createDataFrame([(1, "a", 0.0, 100.0, 20.0, 10.0, 800.0), (1, "b", 200.0, 102.0, 20.0, 10.0, 800.0), (1, "c", 0.0, 150.0, 20.0, 10.0, 800.0), (1, "n", None, None, None, None, None)], cols)
+    w = {r.span_id: (r.x1, r.x2, r.y1, r.y2) for r in structure.title_windows(t, ["p"]).collect()}
+    assert w == {"a": (0.0, 110.0, 94.0, 144.0), "b": (110.0, None, 96.0, 144.0), "c": (0.0, None, 144.0, 285.0)}
+    boxes = spark.createDataFrame([(1, "k1", 50.0, 120.0, 800.0), (1, "k2", 150.0, 120.0, 800.0), (1, "k3", 5.0, 790.0, 800.0)], "p int, box_id string, bx double, by_ double, page_h double")
+    assert rows(structure.inside(structure.title_windows(t, ["p"]), boxes, ["p"])) == [("a", "k1"), ("b", "k2")]
+    runs = spark.createDataFrame([(1, "a", 0.0, 0.0, 9.0, 10.0, 800.0), (1, "b", 0.0, 20.0, 9.0, 10.0, 800.0), (1, "c", 0.0, 60.0, 9.0, 10.0, 800.0)], cols)
+    assert [r.run_no for r in structure.column_runs(runs, ["p"]).orderBy("y").collect()] == [1, 1, 2]
+    cut = spark.createDataFrame([("净含量：5克 产地：甲",), ("产地：甲",), (None,)], "t string")
+    assert rows(cut.select(structure.cut_at_label(F.col("t"), ["产地"]))) == [("净含量：5克",), ("产地：甲",), (None,)]
