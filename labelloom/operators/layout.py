@@ -39,19 +39,29 @@ def _streamed(df: DataFrame, by: list[str], order: list[str], out: str, start: C
 def words_to_lines(words: DataFrame, by: list[str]) -> DataFrame:
     """``words`` (x0, x1, top, bottom, text) with ``line_no`` and ``span_no``: visual lines, split at wide gaps.
 
-    A word joins the present line if it overlaps it vertically by 55 % of the lower height or its centre is near.
+    A word joins the nearest line that it overlaps by 55 % of the lower height or whose centre is near; lines that end
+    above every later word are closed, so only the lines at one height are held.
     """
 
     def step(state, w):
-        no, top, bottom = state
-        low = max(min(w.bottom - w.top, bottom - top), 0.0) if no else 0.0
-        overlap = min(w.bottom, bottom) - max(w.top, top) if no else 0.0
-        near = abs((w.top + w.bottom) / 2 - (top + bottom) / 2) <= max(2.0, 0.45 * low) if no else False
-        if no and low and overlap / low >= 0.55 or near:
-            return (no, min(top, w.top), max(bottom, w.bottom)), no
-        return (no + 1, w.top, w.bottom), no + 1
-
-    lined = _streamed(words, by, ["top", "x0"], "line_no", lambda: (0, 0.0, 0.0), step)
+        count, lines = state
+        middle, high = (w.top + w.bottom) / 2, w.bottom - w.top
+        best = None
+        held = []
+        for no, top, bottom in lines:
+            low = max(min(high, bottom - top), 0.0)
+            away = abs(middle - (top + bottom) / 2)
+            fits = low > 0 and (min(w.bottom, bottom) - max(w.top, top)) / low >= 0.55 or away <= max(2.0, 0.45 * low)
+            if fits and (best is None or away < best[0]):
+                best = (away, no)
+            if bottom + max(bottom - top, 4.0) >= w.top:  # words come by their tops: nothing later reaches lines above
+                held.append((no, top, bottom))
+        if best is None:
+            return (count + 1, [*held, (count + 1, w.top, w.bottom)]), count + 1
+        no = best[1]
+        return (count, [(n, min(t, w.top), max(b, w.bottom)) if n == no else (n, t, b) for n, t, b in held]), no
+
+    lined = _streamed(words, by, ["top", "x0"], "line_no", lambda: (0, []), step)
     w = Window.partitionBy(*by, "line_no").orderBy("x0", "x1")
     height = F.least(F.col("bottom") - F.col("top"), F.lag(F.col("bottom") - F.col("top")).over(w))
     wide = (F.col("x0") - F.lag("x1").over(w)) > F.greatest(F.lit(4.0), height * 0.75)

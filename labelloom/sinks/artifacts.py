@@ -45,6 +45,13 @@ def redacted_bundle(documents: DataFrame, text: str) -> DataFrame:
     return out.withColumn("leak", leak)
 
 
+def publishable(documents: DataFrame, text: str) -> DataFrame:
+    """The masked documents; the job fails as soon as one of them still leaks."""
+    bundle = redacted_bundle(documents, text)
+    checked = F.when(F.col("leak"), F.raise_error(F.lit("a document still holds a secret or a path")).cast("string")).otherwise(F.col(text))
+    return bundle.withColumn(text, checked).drop("leak")
+
+
 def write_html(rows: DataFrame, job: str, columns: list[str], path: str) -> None:
     """A preview page per job, as text files; every value is escaped."""
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 _BOXES = "array<array<array<double>>>"
 _PRUNED = (
@@ -119,3 +120,32 @@ def any_lines(bodies: DataFrame, doc: str, body: str) -> DataFrame:
         layout_lines(bodies.where(has_layout), doc, body).select(columns)
         .unionByName(polygon_lines(bodies.where(~has_layout), doc, body).select(columns))
     )
+
+
+def token_rows(lines: DataFrame, key: str, tokens: str) -> DataFrame:
+    """(key, token_no, text, line_no, x, y, width, height) of the tokens of recorded lines.
+
+    ``tokens`` is a JSON array of texts or of objects with a text, perhaps a line index and a box. Line indexes count
+    from 0 if a 0 occurs among them, else from 1; they come out from 1. A box of four numbers is x, y, width, height, a
+    list of points their hull. Blank texts give no row; anything else that is missing is null.
+    """
+    one = lines.select(F.col(key), F.posexplode(F.from_json(tokens, "array<string>")).alias("n", "t"))
+    field = lambda *names: F.coalesce(*[F.get_json_object("t", f"$.{n}") for n in names])
+    is_object = F.col("t").startswith("{")
+    read = one.select(
+        key, (F.col("n") + 1).alias("token_no"),
+        F.trim(F.when(is_object, field("text", "token", "value")).otherwise(F.col("t"))).alias("text"),
+        F.when(is_object, field("line_index", "lineIndex", "line")).try_cast("int").alias("line"),
+        F.when(is_object, field("box", "bbox", "polygon", "points")).alias("box"),
+    ).where(F.col("text") != "")
+    base = F.min("line").over(Window.partitionBy(key)) == 0
+    flat = F.from_json("box", "array<double>")
+    points = F.from_json("box", "array<array<double>>")
+    xs, ys = F.transform(points, lambda p: p[0]), F.transform(points, lambda p: p[1])
+    is_flat = F.col("box").rlike(r"^\[\s*-?[0-9]") & (F.size(flat) == 4)
+    lo = lambda k, of: F.when(is_flat, F.get(flat, F.lit(k))).otherwise(F.array_min(of))
+    size = lambda k, of: F.when(is_flat, F.get(flat, F.lit(k))).otherwise(F.array_max(of) - F.array_min(of))
+    return read.select(
+        key, "token_no", "text", F.when(base, F.col("line") + 1).otherwise(F.col("line")).alias("line_no"),
+        lo(0, xs).alias("x"), lo(1, ys).alias("y"), size(2, xs).alias("width"), size(3, ys).alias("height"),
+    )

@@ -2,6 +2,8 @@ import json
 import struct
 import zipfile
 
+import pytest
+
 from labelloom.sinks import artifacts
 from labelloom.sources import files, plugins, recorded, workbook
 from tests.conftest import rows
@@ -79,3 +81,27 @@ def test_plugins_and_sinks(spark, tmp_path):
     failed = artifacts.failure_results(spark.createDataFrame([("j", "ocr", "E", "why")], "job_id string, stage string, error_type string, reason string"))
     assert set(artifacts.ROOT_KEYS) <= set(failed.columns) and len(failed.first().review_tasks) == 1
     assert artifacts.redacted_bundle(spark.createDataFrame([("/root/x a@b.co",)], "t string"), "t").first() == ("<path> <email>", False)
+
+
+def test_manifest_paths(tmp_path):
+    for body, want in [({"inputs": [{"file_path": "b.pdf"}]}, "b.pdf"), ({"input_pdf": " ", "document": {"path": "c.pdf"}}, "c.pdf"), ({"inputs": [], "input": {"file_path": "d"}}, "d")]:
+        (tmp_path / "m.json").write_text(json.dumps(body))
+        assert files.manifest_input(tmp_path / "m.json").name == want
+    for body in ([], {}, {"inputs": [1]}, {"input_pdf": 3}):
+        (tmp_path / "m.json").write_text(json.dumps(body))
+        with pytest.raises(ValueError):
+            files.manifest_input(tmp_path / "m.json")
+
+
+def test_tokens(spark):
+    tokens = ["净", " ", {"text": "含", "line_index": 0, "box": [1, 2, 3, 4]}, {"token": "量", "line_index": 1, "points": [[0, 0], [5, 0], [5, 6]]}]
+    df = spark.createDataFrame([("a", json.dumps(tokens, ensure_ascii=False)), ("b", json.dumps([{"text": "x", "line": 1}])), ("c", None)], "k string, tokens string")
+    got = [tuple(r) for r in recorded.token_rows(df, "k", "tokens").orderBy("k", "token_no").collect()]
+    assert got == [("a", 1, "净", None, None, None, None, None), ("a", 3, "含", 1, 1.0, 2.0, 3.0, 4.0), ("a", 4, "量", 2, 0.0, 0.0, 5.0, 6.0), ("b", 1, "x", 1, None, None, None, None)]
+
+
+def test_nothing_leaks(spark):
+    df = spark.createDataFrame([("mail a@b.co",)], "t string")
+    assert artifacts.publishable(df, "t").first().t == "mail <email>"
+    with pytest.raises(Exception, match="still holds"):
+        artifacts.publishable(spark.createDataFrame([("AKIA" + "A" * 16,)], "t string"), "t").collect()
