@@ -1,8 +1,9 @@
 """Free-entered values mapped to a canonical list (problem 4).
 
 A multi-pattern automaton over all names and aliases of the list finds embedded mentions; the longest non-overlapping
-ones win. A value that mentions nothing goes to similarity: all entries that share enough characters and pairs to lie
-within the edit budget are compared by edit distance (with transpositions). The list is a reference list that does not grow; its size is checked
+ones win. A value that mentions nothing goes to similarity of token sets: the same words in another order mean the
+entry, and all entries that share enough characters and pairs (their token sets) to lie within the edit budget are
+compared by edit distance (with transpositions). The list is a reference list that does not grow; its size is checked
 before it is sent to the executors. No value is shuffled: each distinct one is resolved once per Python worker.
 
 Defined results: null and blank values and values that are exactly a display name give no row; a value that means no
@@ -46,6 +47,7 @@ _SIMPLE = {ord(a): b for a, b in (p for p in TRADITIONAL.split() if p[0] != p[1]
 _NUMBERING = re.compile(r"^\s*(?:[(\[【]?\s*\d{1,3}\s*(?:[.、)\]】)]|\s)\s*)+")
 _REMARK = re.compile(r"[(\[【]\s*(?:必填|选填|内部|可选|required|optional|internal)\s*[)\]】]")
 _NO_LETTER = re.compile(r"[\W_]+")
+_WORDS = re.compile(r"[^\W_]+")
 
 
 def letters(text: str) -> str:
@@ -54,6 +56,12 @@ def letters(text: str) -> str:
     return _NO_LETTER.sub("", _REMARK.sub("", _NUMBERING.sub("", t)))
 
 
+def tokens(text: str) -> tuple[str, ...]:
+    """The set of words of a text, in one form and order."""
+    t = _REMARK.sub(" ", _NUMBERING.sub("", unicodedata.normalize("NFKC", text).casefold().translate(_SIMPLE)))
+    return tuple(sorted(set(_WORDS.findall(t))))
+
+
 def edit_distance(a: str, b: str, most: int) -> int:
     """Edits (a transposition is one) from ``a`` to ``b``; ``most`` + 1 if more."""
     if abs(len(a) - len(b)) > most:
@@ -85,6 +93,11 @@ class Canon:
             for n in names:
                 if n and (k := letters(n)):
                     self.names.setdefault(k, entry)
+        self.by_tokens: dict[tuple[str, ...], set[int]] = {}
+        for entry, names in entries:
+            for n in names:
+                if n and len(t := tokens(n)) > 1:
+                    self.by_tokens.setdefault(t, set()).add(entry)
         self.automaton = ahocorasick.Automaton()
         for k, entry in self.names.items():
             self.automaton.add_word(k, (len(k), entry))
@@ -106,7 +119,12 @@ class Canon:
             return 0
         if t in self.names:
             return self.names[t]
-        return self._mentioned(t, MENTION_SHARE) or self._nearest(t) or self._mentioned(t, LEAST_MENTION_SHARE)
+        return self._mentioned(t, MENTION_SHARE) or self._same_tokens(value) or self._nearest(t) or self._mentioned(t, LEAST_MENTION_SHARE)
+
+    def _same_tokens(self, value: str) -> int:
+        """The one entry with a name of the same two or more words in another order."""
+        found = self.by_tokens.get(tokens(value), ())
+        return next(iter(found)) if len(found) == 1 else 0
 
     def _mentioned(self, t: str, share: float) -> int:
         """The entry whose mentions cover most letters, if all mentions cover ``share`` of the value."""
@@ -169,12 +187,11 @@ def map_to_catalog(values: DataFrame, key: str, value: str, catalog: DataFrame)
     """(rec_id, value, catalog_id): the entry that each value means, 0 for none."""
     listed = catalog_entries(catalog)
     frozen = tuple((e, tuple(n)) for e, n in listed)
-    shown = [n[0] for _, n in listed if n]
+    shown = catalog.where(F.col("catalog_id").isNotNull() & F.col("display_name").isNotNull()).select(F.col("display_name").alias("value")).distinct()
     todo = values.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(
         F.col(key).alias("rec_id"), F.col(value).alias("value")
     )
-    if shown:
-        todo = todo.where(~F.col("value").isin(shown))
+    todo = todo.join(F.broadcast(shown), "value", "left_anti").select("rec_id", "value")  # no larger than MAX_ENTRIES
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon = _canon(frozen)

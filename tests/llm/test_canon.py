@@ -11,6 +11,7 @@ def test_resolve():
         "不适宜人群": 31, "不适宜人": 31, "适宜群": 30, "配料": 2, "Ingredient_List*": 2, "交货日期": 0, "设计师": 0, "asdf": 0, "---": 0, "": 0,
     }.items():
         assert c.resolve(label) == want, label
+    assert c.resolve("List of ingredient") == 0 and c.resolve("Name, Product") == 1 and c.resolve("LIST (Ingredient)") == 2
     assert Canon([]).resolve("产品名称") == 0
 
 
