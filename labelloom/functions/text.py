@@ -49,6 +49,21 @@ def letters_only(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"[\s\p{P}\p{S}]+", ""))
 
 
+def markup_key(c: Column) -> Column:
+    """Text of a fragment in lower case, for comparing what two layouts show."""
+    return F.lower(without_markup(c))
+
+
+def value_key(c: Column) -> Column:
+    """The comparable form of a value without its label."""
+    return compare_key(value_part(c))
+
+
+def separator_free_key(c: Column) -> Column:
+    """The comparable form without separators; percent signs and hyphens stay."""
+    return F.regexp_replace(compare_key(c), r"[,.;:()\[\]{}|/]+", "")
+
+
 def compact(c: Column) -> Column:
     """Without white space."""
     return F.regexp_replace(c, SPACE, "")

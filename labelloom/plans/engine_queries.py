@@ -69,6 +69,16 @@ def target_keys(spark, d):
     return i.select("id", matching.target_key(F.col("text"), is_code).alias("target_key"))
 
 
+@query(rf"""SELECT span_id, count(DISTINCT v) AS n_forms, min(sep) AS separator_free, min(val) AS value_key, min(cmp) AS compact FROM (SELECT span_id, text AS v, regexp_replace({_key('text')}, '[,.;:()\[\]{{}}|/]+', '', 'g') AS sep, {_key(_value('text'))} AS val,
+  regexp_replace(text, '[\s\x{{00A0}}\x{{2000}}-\x{{200A}}\x{{202F}}\x{{3000}}\x{{FEFF}}]+', '', 'g') AS cmp FROM text_spans WHERE span_id IS NOT NULL AND text IS NOT NULL) GROUP BY 1""".replace("\\\\", "\\"))
+def text_forms(spark, d):
+    """The forms in which a text is compared, each for its purpose."""
+    s = table(spark, d, "text_spans").where(F.col("span_id").isNotNull() & F.col("text").isNotNull())
+    t = F.col("text")
+    one = s.select("span_id", t.alias("v"), tx.separator_free_key(t).alias("sep"), tx.value_key(t).alias("val"), tx.compact(t).alias("cmp"))
+    return one.groupBy("span_id").agg(F.count_distinct("v").alias("n_forms"), F.min("sep").alias("separator_free"), F.min("val").alias("value_key"), F.min("cmp").alias("compact"))
+
+
 def _steps(c: str) -> dict[str, str]:
     out = {"none": c}
     c = rf"regexp_replace({c}, '[\s\x{{00A0}}\x{{2000}}-\x{{200A}}\x{{202F}}\x{{3000}}\x{{FEFF}}]+', '', 'g')"

@@ -152,3 +152,24 @@ def sheet_rows(cells: DataFrame) -> DataFrame:
     return cells.join(head, ["file_name", "sheet", "col"]).where((F.col("row") > F.col("header_row")) & (F.trim("text") != "")).select(
         "file_name", "sheet", "row", "header", "coord", "text"
     )
+
+
+def profile(cells: DataFrame) -> DataFrame:
+    """(file_name, sheet, known, header_row, columns, ignored, n_rows): what each sheet of a workbook holds.
+
+    ``columns`` are the headers read, ``ignored`` the columns with texts that have none; a sheet that is not required or
+    without a header has neither.
+    """
+    seen = cells.where(F.col("sheet").isNotNull())
+    head = header_cells(cells)
+    read = head.groupBy("file_name", "sheet").agg(F.min("header_row").alias("header_row"), F.array_sort(F.collect_list(F.struct("col", "header"))).alias("h"))
+    used = seen.where(F.trim("text") != "").groupBy("file_name", "sheet").agg(F.collect_set("col").alias("cols"))
+    below = sheet_rows(cells).groupBy("file_name", "sheet").agg(F.count_distinct("row").alias("n_rows"))
+    by = ["file_name", "sheet"]
+    return (
+        seen.select(*by).distinct().join(read, by, "left").join(used, by, "left").join(below, by, "left")
+        .select(
+            *by, F.col("sheet").isin(*REQUIRED_HEADERS).alias("known"), "header_row", F.transform("h", lambda x: x["header"]).alias("columns"),
+            F.when(F.col("h").isNotNull(), F.array_sort(F.array_except("cols", F.transform("h", lambda x: x["col"])))).alias("ignored"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
+        )
+    )

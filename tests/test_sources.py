@@ -105,3 +105,20 @@ def test_nothing_leaks(spark):
     assert artifacts.publishable(df, "t").first().t == "mail <email>"
     with pytest.raises(Exception, match="still holds"):
         artifacts.publishable(spark.createDataFrame([("AKIA" + "A" * 16,)], "t string"), "t").collect()
+
+
+def test_optional_files_and_dictionaries(spark, tmp_path):
+    (tmp_path / "d.json").write_text(json.dumps({"scope": {"label": ["净含量", " "], "process": ["打样"]}}, ensure_ascii=False))
+    assert rows(files.dictionary(spark, str(tmp_path / "d.json"))) == [("scope", "label", "净含量"), ("scope", "process", "打样")]
+    (tmp_path / "i.json").write_text(json.dumps([{"id": "a", "n": 1}, {"id": "b"}]))
+    assert rows(files.optional_json(spark, str(tmp_path / "i.json"), "id string, n int")) == [("a", 1), ("b", None)]
+    none = files.optional_json(spark, str(tmp_path / "none.json"), "id string, n int")
+    assert none.columns == ["id", "n"] and none.count() == 0
+
+
+def test_workbook_profile(spark):
+    sheet, headers = next(iter(workbook.REQUIRED_HEADERS.items()))
+    cells = [("f", sheet, 1, k, "A1", h, None) for k, h in enumerate(headers, 1)] + [("f", sheet, 2, 1, "A2", "v", None), ("f", sheet, 3, 9, "I3", "x", None), ("f", "Notes", 1, 1, "A1", "n", None)]
+    df = spark.createDataFrame(cells, "file_name string, sheet string, row int, col int, coord string, text string, error string")
+    got = {r.sheet: (r.known, r.header_row, r.columns, r.ignored, r.n_rows) for r in workbook.profile(df).collect()}
+    assert got == {sheet: (True, 1, list(headers), [9], 1), "Notes": (False, None, None, None, 0)}
