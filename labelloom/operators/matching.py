@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from labelloom.functions.text import MARKS_FROM, MARKS_TO, SPACE, compare_key, label_part, narrow, value_part
 from labelloom.operators.sequences import top_k
@@ -168,3 +169,19 @@ def conflict_clusters(values: DataFrame, by: list[str], value: str, least: int =
         .agg(F.count(F.lit(1)).alias("n_values"), F.count_if(F.col("__held").isNull()).alias("n_clusters"))
         .where(F.col("n_clusters") > 1)
     )
+
+
+def joined_with_fallback(left: DataFrame, by_id: DataFrame, by_keys: DataFrame, key: str, keys: list[str], value: str) -> DataFrame:
+    """(key, value, how): what ``by_id`` (key, value) says of a row, else the least that ``by_keys`` (keys..., value) says."""
+    one = by_id.groupBy(key).agg(F.min(value).alias("__a"))
+    two = by_keys.groupBy(*keys).agg(F.min(value).alias("__b"))
+    return left.join(one, key, "left").join(two, keys, "left").select(
+        key, F.coalesce("__a", "__b").alias(value), F.when(F.col("__a").isNotNull(), "id").when(F.col("__b").isNotNull(), "keys").otherwise("none").alias("how")
+    )
+
+
+def assigned_in_order(unnamed: DataFrame, free: DataFrame, by: list[str], left: str, right: str) -> DataFrame:
+    """(by..., left, right): rows without a name take the free names of their group in order, one each."""
+    a = unnamed.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(left)))
+    b = free.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(right)))
+    return a.join(b, [*by, "__n"], "left").select(*by, left, right)

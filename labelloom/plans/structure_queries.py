@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from labelloom.functions import text as tx
-from labelloom.operators import compare, sequences, structure, summaries
+from labelloom.operators import compare, document_graph, matching, sequences, structure, summaries
 from labelloom.plans.catalogue import _FIRST_ITEMS, _MATCHED, Query, _key, _status
-from labelloom.plans.engine_queries import _IMPORTANT, _items, _one
+from labelloom.plans.engine_queries import _IMPORTANT, _PARTS, _graph_parts, _items, _one
 from labelloom.session import table
 
 QUERIES: dict[str, Query] = {}
@@ -343,3 +343,35 @@ def result_buckets(spark, d):
     s = _status(spark, d)
     bucket = F.when(F.col("status") == "pass", "in_order").when(F.col("status") == "manual_review", "to_check").otherwise("wrong")
     return s.groupBy("job_id", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {_FIRST_ITEMS}, v AS (SELECT evidence_id, min(job_id) AS job_id, min({_key('source_text')}) AS k FROM evidence_items WHERE evidence_id IS NOT NULL GROUP BY 1), c AS (SELECT evidence_id, min(id) AS item_id FROM (SELECT unnest(evidence_refs) AS evidence_id, id FROM first_items) WHERE evidence_id IS NOT NULL GROUP BY 1),
+  t AS (SELECT job_id, {_key('text')} AS k, min(id) AS item_id FROM first_items GROUP BY 1, 2)
+  SELECT v.evidence_id, coalesce(c.item_id, t.item_id) AS item_id, CASE WHEN c.item_id IS NOT NULL THEN 'id' WHEN t.item_id IS NOT NULL THEN 'keys' ELSE 'none' END AS how FROM v LEFT JOIN c USING (evidence_id) LEFT JOIN t ON t.job_id = v.job_id AND t.k = v.k""")
+def evidence_links(spark, d):
+    """The item that cites an evidence, else one of its job with the same text."""
+    i = _items(spark, d)
+    v = table(spark, d, "evidence_items").where(F.col("evidence_id").isNotNull()).withColumn("k", tx.compare_key(F.col("source_text"))).groupBy("evidence_id").agg(F.min("job_id").alias("job_id"), F.min("k").alias("k"))
+    cited = i.select(F.explode("evidence_refs").alias("evidence_id"), F.col("id").alias("item_id")).where(F.col("evidence_id").isNotNull())
+    same = i.select("job_id", tx.compare_key(F.col("text")).alias("k"), F.col("id").alias("item_id"))
+    return matching.joined_with_fallback(v, cited, same, "evidence_id", ["job_id", "k"], "item_id")
+
+
+@query(f"""WITH {_FIRST_ITEMS}, u AS (SELECT job_id, content_row_id, row_number() OVER (PARTITION BY job_id ORDER BY content_row_id) AS n FROM (SELECT DISTINCT job_id, content_row_id FROM content_items WHERE trim(coalesce(nutrition_table_no, '')) = '')),
+  f AS (SELECT job_id, table_id, row_number() OVER (PARTITION BY job_id ORDER BY table_id) AS n FROM (SELECT DISTINCT job_id, table_id FROM first_items WHERE table_id IS NOT NULL))
+  SELECT u.job_id, content_row_id, table_id FROM u LEFT JOIN f ON f.job_id = u.job_id AND f.n = u.n""")
+def assigned_tables(spark, d):
+    """Contents that name no table take the tables of their job in order."""
+    c = table(spark, d, "content_items").where(F.trim(F.coalesce("nutrition_table_no", F.lit(""))) == "").select("job_id", "content_row_id").distinct()
+    t = _items(spark, d).where(F.col("table_id").isNotNull()).select("job_id", "table_id").distinct()
+    return matching.assigned_in_order(c, t, ["job_id"], "content_row_id", "table_id")
+
+
+@query(_PARTS + """, n AS (SELECT job_id, count(*) AS n_nodes, count(DISTINCT kind) AS n_node_kinds FROM nd GROUP BY 1), e AS (SELECT job_id, count(*) AS n_edges, count(DISTINCT kind) AS n_edge_kinds FROM ed GROUP BY 1)
+  SELECT job_id, n_nodes, n_node_kinds, n_edges, n_edge_kinds FROM n JOIN e USING (job_id)""")
+def graph_bundle(spark, d):
+    """The graph of every job in figures."""
+    parts = _graph_parts(spark, d)
+    n = document_graph.nodes(*parts).groupBy("job_id").agg(F.count(F.lit(1)).alias("n_nodes"), F.count_distinct("kind").alias("n_node_kinds"))
+    e = document_graph.edges(*parts).groupBy("job_id").agg(F.count(F.lit(1)).alias("n_edges"), F.count_distinct("kind").alias("n_edge_kinds"))
+    return n.join(e, "job_id")
