@@ -230,14 +230,14 @@ def source_delimiters(rows: DataFrame, source: str, field: str) -> DataFrame:
     pooled = by_mark([], scores.groupBy("mark").agg(*sums))  # one row
     agreed = pooled.select(
         F.transform(F.filter("found", lambda m: _consistent(m, F.col("records"))), lambda m: m["mark"]).alias("agreed")
-    )
+    ).scalar()
     consistent = lambda m: F.when(F.col("records") >= ENOUGH, _consistent(m, F.col("records"))).otherwise(
-        F.array_contains(F.col("agreed"), m["mark"])
+        F.array_contains(F.col("agreed"), m["mark"])  # of one row
     )
     separates = F.filter("found", lambda m: (m["regular"] >= REGULAR_SHARE * m["pieces"]) & consistent(m))
     return (
         by_mark(["source"], scores)
-        .crossJoin(F.broadcast(agreed))
+        .withColumn("agreed", agreed)
         .select("source", F.array_join(F.array_sort(F.transform(separates, lambda m: m["mark"])), "").alias("marks"))
         .where(F.col("marks") != "")
     )
