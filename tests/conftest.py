@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -5,7 +6,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-DATA = Path("/root/testdata/sf0.001")
+DATA = Path(os.environ.get("LABELLOOM_TEST_DATA", "/root/testdata/sf0.001"))
 
 
 @pytest.fixture(scope="session")
