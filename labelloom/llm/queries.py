@@ -55,8 +55,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    """The pages as continuous text."""
-    return scans.paragraphs(table(spark, d, "source_alignments"), table(spark, d, "compare_candidates"))
+    """The paragraphs of all pages, blocks and loose lines as continuous text."""
+    return scans.whole_paragraphs(table(spark, d, "source_alignments"), table(spark, d, "compare_candidates"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

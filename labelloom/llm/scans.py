@@ -4,15 +4,15 @@ Misread words: a vocabulary with counts of words and of neighbouring symbols is
 distributed. A suspicious token is run through a Levenshtein automaton over edits between characters of like shape,
 intersected with the trie of the vocabulary, which retrieves every candidate; candidates are ranked by their counts and
 by how well they fit between their neighbours, and a token counts as misread if a candidate is so much better supported
-than the token itself. Page furniture is found by repetition over the pages of a job; then furniture is removed, broken
-words are joined and lines reflowed to paragraphs.
+than the token itself. Page furniture is found by repetition over the pages of a job; then furniture is removed from
+pages and blocks, broken words are joined and lines reflowed to paragraphs that run over the pages of a job.
 
 Two tiers keep retrieval complete at any size. Words and neighbours with a share of at least ``LEAST_SHARE`` of all
 symbols, at most 1 / ``LEAST_SHARE`` of them, are broadcast; with the knowledge that any other count is below that share
 they decide most tokens for certain. Every token that they cannot decide is joined with the whole counts: words with
 equal ``word_key`` are all that shape edits can reach, so the vocabulary is cut by this key and the trie of each part is
 walked where the token meets it. Lines are never grouped by job, only edge lines (first and last two of a page) are
-counted.
+counted and one short row for each part of a page put in order.
 
 Defined results: null and blank texts carry no noise; a page alone repeats nothing; lines without a job, page or line
 number have no furniture; repeated rows of an id count once; texts of any length are read whole.
@@ -39,7 +39,7 @@ LEAST_SHARE = 5e-6
 LEAST_COUNT = 2
 #: A correction must fit so many times better than what was read.
 TIMES = 6
-#: Lines of a page that are joined at once; a word broken between two parts is joined all the same.
+#: Lines of a page that are joined at once; parts of a page are joined like pages.
 PART_LINES = 5_000
 #: Share of a job's pages, and number of them, that repeat a running header.
 HEADER_SHARE, HEADER_PAGES = 0.6, 2
@@ -68,16 +68,14 @@ _EDGE = "\n"
 
 
 class _Remembered(dict):
-    """What a function gives, kept for up to ``MOST`` arguments."""
+    """What a function gives, kept for up to ``most`` arguments."""
 
-    MOST = 500_000
-
-    def __init__(self, function):
+    def __init__(self, function, most=500_000):
         super().__init__()
-        self.function = function
+        self.function, self.most = function, most
 
     def __missing__(self, key):
-        if len(self) >= self.MOST:
+        if len(self) >= self.most:
             self.clear()
         value = self[key] = self.function(key)
         return value
@@ -198,6 +196,7 @@ class Vocabulary:
         self.most = max((n for w, n in words.items() if len(w) > 1 and w.isalpha()), default=floors[0])
         self.doubtful = _Remembered(self._doubtful)
         self.corrected = _Remembered(lambda x: self.correction(*x))
+        self.doubts = _Remembered(self._doubts, 50_000)
 
     def _word(self, w: str) -> tuple[float, float]:
         """(least, most) that the count of a word can be."""
@@ -283,24 +282,27 @@ class Vocabulary:
                     return True
         return False
 
+    def _doubts(self, line: str) -> list[tuple[int, tuple[str, str, str], str]]:
+        """(place, context, correction or UNSURE) of the symbols of a line that may be misread."""
+        out = symbols(line)
+        around = enumerate(zip([_EDGE, *out], out, [*out[1:], _EDGE]))
+        return [(k, x, c) for k, x in around if self.doubtful[x[1]] and (c := self.corrected[x]) is not None]
+
     def open_questions(self, line: str) -> set[Question]:
         """The questions about a line's symbols that the counts held do not answer."""
-        out = symbols(line)
-        around = zip([_EDGE, *out], out, [*out[1:], _EDGE])
-        return {context(*x) for x in around if self.doubtful[x[1]] and self.corrected[x] is UNSURE}
+        return {context(*x) for _, x, c in self.doubts[line] if c is UNSURE}
 
     def repaired(self, line: str, known: dict[tuple, str | None] | None = None) -> str:
         """``line`` with misread characters replaced; spacing and case of the rest stay. ``known`` decides what is unsure."""
+        changed = {k: (known or {}).get(context(*x)) if c is UNSURE else c for k, x, c in self.doubts[line]}
+        if not changed:
+            return line
         out, at = [], 0
-        keys = symbols(line)
         for k, m in enumerate(_SYMBOLS.finditer(line)):
-            c = self.corrected[x := (keys[k - 1] if k else _EDGE, keys[k], keys[k + 1] if k + 1 < len(keys) else _EDGE)]
-            if c is UNSURE:
-                c = (known or {}).get(context(*x))
+            if (c := changed.get(k)) is None:
+                continue
             out.append(line[at : m.start()])
-            if c is None:
-                out.append(m[0])
-            elif c == "#number":
+            if c == "#number":
                 out.append(_number_of(m[0]))
             else:
                 out.append(c.capitalize() if m[0][:1].isupper() and c.isalpha() else c)
@@ -606,7 +608,7 @@ def noisy_records(alignments: DataFrame, candidates: DataFrame) -> DataFrame:
         headed.select("id", F.lit("running_header").alias("noise_kind")),
         headed.where(F.col("page_number") == F.col("page")).select("id", F.lit("page_number").alias("noise_kind")),
         keyed.where(F.col("alone") & (F.col("page_number") == F.col("page"))).select("id", F.lit("page_number").alias("noise_kind")),
-        _noise_of_blocks(blocks, headers, placed),
+        furniture_of_blocks(blocks, headers, placed).select("id", "noise_kind"),
         _noise_of_words(lines, placed, blocks, vocabulary, counts),
     ]
     out = found[0]
@@ -615,18 +617,19 @@ def noisy_records(alignments: DataFrame, candidates: DataFrame) -> DataFrame:
     return out.select(F.col("id").alias("rec_id"), "noise_kind").distinct()
 
 
-def _noise_of_blocks(blocks: DataFrame, headers: DataFrame, placed: DataFrame) -> DataFrame:
-    """Furniture in the first and last two lines of blocks of several lines, by the headers and pages of their job."""
+def furniture_of_blocks(blocks: DataFrame, headers: DataFrame, placed: DataFrame) -> DataFrame:
+    """(id, at, noise_kind): furniture in the first and last two lines of blocks of several lines, by the headers and pages
+    of their job; ``at`` is the line's place in the block from 0."""
     pages = placed.groupBy("job_id").agg(F.max("page").alias("pages"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, jobs, keys, numbers, alone = [], [], [], [], []
+            ids, jobs, places, keys, numbers, alone = [], [], [], [], [], []
             for i, j, text in zip(*(b.column(k).to_pylist() for k in range(3))):
-                lines = [x for x in text.split("\n") if x.strip()]
+                lines = [(k, x) for k, x in enumerate(text.split("\n")) if x.strip()]
                 if len(lines) < 2 or j is None:
                     continue
-                for line in dict.fromkeys([*lines[:2], *lines[-2:]]):
+                for at, line in dict.fromkeys([*lines[:2], *lines[-2:]]):
                     n = page_number_alone(line)
                     single = n is not None
                     key = None
@@ -635,26 +638,27 @@ def _noise_of_blocks(blocks: DataFrame, headers: DataFrame, placed: DataFrame) -
                         key = shape_key(rest)
                     ids.append(i)
                     jobs.append(j)
+                    places.append(at)
                     keys.append(key)
                     numbers.append(n)
                     alone.append(single)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.string()), pa.array(jobs, pa.string()), pa.array(keys, pa.string()), pa.array(numbers, pa.int32()), pa.array(alone, pa.bool_())],
-                names=["id", "job_id", "key", "page_number", "alone"],
+                [pa.array(ids, pa.string()), pa.array(jobs, pa.string()), pa.array(places, pa.int32()), pa.array(keys, pa.string()), pa.array(numbers, pa.int32()), pa.array(alone, pa.bool_())],
+                names=["id", "job_id", "at", "key", "page_number", "alone"],
             )
 
     # a few short rows a block, read three times below
     edges = checkpointed(
-        blocks.select("id", "job_id", "text").mapInArrow(emit, "id string, job_id string, key string, page_number int, alone boolean")
+        blocks.select("id", "job_id", "text").mapInArrow(emit, "id string, job_id string, at int, key string, page_number int, alone boolean")
         .where(F.col("alone") | F.col("key").isNotNull())
     )
     headed = edges.where(F.col("key").isNotNull()).join(headers, ["job_id", "key"])
     numbered = salted_join(edges.where("alone"), pages, ["job_id"], F.col("id"), "inner")
     return (
-        headed.select("id", F.lit("running_header").alias("noise_kind"))
-        .unionAll(headed.where(F.col("page_number").isNotNull()).select("id", F.lit("page_number").alias("noise_kind")))
+        headed.select("id", "at", F.lit("running_header").alias("noise_kind"))
+        .unionAll(headed.where(F.col("page_number").isNotNull()).select("id", "at", F.lit("page_number").alias("noise_kind")))
         .unionAll(
-            numbered.where(F.col("page_number").between(F.lit(1), F.col("pages"))).select("id", F.lit("page_number").alias("noise_kind"))
+            numbered.where(F.col("page_number").between(F.lit(1), F.col("pages"))).select("id", "at", F.lit("page_number").alias("noise_kind"))
         )
     )
 
@@ -727,46 +731,49 @@ _DECIDED = (None, None, None, None)
 # -- repair
 
 
-def reflowed(v: Vocabulary, lines: list[str], known: dict[Question, str | None], before: str | None = None, after: str | None = None) -> list[str]:
-    """Lines joined to paragraphs: words whole again, a blank only between Latin words.
+def reflowed(v: Vocabulary, lines: list[str], known: dict[Question, str | None], longest: int, after: str | None = None, within: bool = False) -> list[tuple[str, str]]:
+    """Lines joined to paragraphs, each with what its end is the end of: words whole again, a blank only between Latin words.
 
-    ``before`` and ``after`` are the lines of the neighbouring parts: a word broken off at the end of ``before`` stands
-    there already, one broken off at the end of these lines is completed from ``after``. A paragraph ends with a line
-    that ends a sentence and is shorter than the longest one by a fifth at least.
+    A 'paragraph' ends with a line that ends a sentence and is shorter than the longest one of its page by a fifth at
+    least; at the end of a page one of both is enough, since a title or value stands there as well. The last one ends with
+    the 'lines', or it runs on in ``after``, the line that follows (of the same page if ``within``), from the end of a
+    'line' or a piece of a 'word'.
     """
-    out, text = [], ""
-    longest = max(map(len, lines), default=0)
-    taken = before is not None and bool(lines) and known.get(broken_end(before, lines[0]) or ()) is not None
+    out, text, ends = [], "", "lines"
     for k, line in enumerate(lines):
         following = lines[k + 1] if k + 1 < len(lines) else after
         fixed = v.repaired(line, known).strip()
-        if taken:
-            fixed = re.sub(r"^[^\W_]+", "", fixed)
-            taken = False
         if known.get(broken_end(line, following) or ()) is not None:
             text += _HYPHEN.sub(lambda m: m[1], fixed)
-            if k + 1 == len(lines) and after is not None:
-                text += re.match(r"\s*([^\W_]*)", v.repaired(after, known))[1]
+            ends = "word"
             continue
         text += fixed
-        if fixed and fixed[-1] in PARAGRAPH_ENDS and len(line.strip()) < 0.8 * longest:
-            out.append(text)
+        sentence, short = fixed[-1:] in (*PARAGRAPH_ENDS,), len(line.strip()) < 0.8 * longest
+        if fixed:
+            ends = "line" if within or not (sentence or short) else "lines"
+        if sentence and short:
+            ends = "lines"
+            out.append((text, "paragraph"))
             text = ""
-        elif fixed and fixed[-1] < "⺀" and not fixed.endswith("-") and following and following.strip()[:1] < "⺀":
+        elif fixed and fixed[-1] < LATIN_END and not fixed.endswith("-") and following and following.strip()[:1] < LATIN_END:
             text += " "
-    return [p for t in [*out, text] if (p := re.sub(r"\s+", " ", t).strip())]
+    out = [(p, e) for t, e in [*out, (text, ends)] if (p := re.sub(r"\s+", " ", t).strip())]
+    return out[:-1] + [(p, e if e != "paragraph" else "lines") for p, e in out[-1:]]
 
 
 #: Marks that may end a paragraph.
 PARAGRAPH_ENDS = "。.!?！？"
+#: Below are the scripts that write a blank between words.
+LATIN_END = "⺀"
 
 
 def _text_parts(alignments: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(source, rec_id, page, part, lines, before, after): lines in their order without furniture.
+    """(source, rec_id, page, part, lines, longest, after): lines in their order without furniture, that of blocks included;
+    the length of the longest line of the page, and the line that follows on the same page.
 
     A page is 'page' by its job, a candidate 'block' by its id, a line without job, page or number 'line' by its id. Of
-    an id delivered twice the smallest (job, page, number, text) is taken. A page of more than PART_LINES lines comes in
-    parts, with the lines that adjoin them.
+    an id delivered twice the smallest (job, page, number, text) is taken, of a candidate the smallest text and its job. A
+    page of more than PART_LINES lines comes in parts.
     """
     one = (
         alignments.where(F.col("alignment_id").isNotNull() & F.col("ocr_text").isNotNull())
@@ -775,86 +782,166 @@ def _text_parts(alignments: DataFrame, candidates: DataFrame) -> DataFrame:
         .select("id", "r.*")
     )
     has_place = F.col("job_id").isNotNull() & F.col("page").isNotNull() & F.col("line_no").isNotNull()
-    keyed = checkpointed(edge_lines(one.where(has_place)).mapInArrow(_keyed, _KEYED))
-    headers = running_headers(keyed.where(F.col("edge").isNotNull()))
+    placed = one.where(has_place)
+    keyed = checkpointed(edge_lines(placed).mapInArrow(_keyed, _KEYED))
+    headers = checkpointed(running_headers(keyed.where(F.col("edge").isNotNull())))
     shown = keyed.where(F.col("key").isNull()).unionAll(
         salted_join(keyed.where(F.col("key").isNotNull()), headers, ["job_id", "key"], F.col("id"), "left_anti").select(*keyed.columns)
     )
-    page = ["rec_id", "page"]
-    parts = (
+    on_page = Window.partitionBy("rec_id", "page")  # of a page's parts, not of its lines
+    longest = F.array_max(F.transform("lines", F.length))
+    pages = (
         shown.where(~(F.col("alone") & (F.col("page_number") == F.col("page"))))
         .withColumn("part", F.floor(F.col("line_no") / F.lit(PART_LINES)).cast("int"))
         .groupBy(F.col("job_id").alias("rec_id"), "page", "part")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "id", "text"))), lambda x: x["text"]).alias("lines"))
-    )
-    in_order = Window.partitionBy(*page).orderBy("part")  # of a page's parts, not of its lines
-    pages = parts.select(
-        F.lit("page").alias("source"), *page, "part", "lines",
-        F.lag(F.element_at("lines", -1)).over(in_order).alias("before"), F.lead(F.element_at("lines", 1)).over(in_order).alias("after"),
+        .select(
+            F.lit("page").alias("source"), "rec_id", "page", "part", "lines",
+            F.max(longest).over(on_page).alias("longest"), F.lead(F.element_at("lines", 1)).over(on_page.orderBy("part")).alias("after"),
+        )
     )
     none = F.lit(None).cast("string")
-    loose = one.where(~has_place).select(
-        F.lit("line"), "id", F.lit(None).cast("int"), F.lit(0), F.array("text"), none, none
-    )
+    loose = one.where(~has_place).select(F.lit("line"), "id", F.lit(None).cast("int"), F.lit(0), F.array("text"), F.length("text"), none)
     blocks = (
         candidates.where(F.col("candidate_id").isNotNull() & F.col("text").isNotNull())
-        .groupBy("candidate_id").agg(F.min("text").alias("text"))
-        .select(F.lit("block"), "candidate_id", F.lit(None).cast("int"), F.lit(0), F.split("text", "\n"), none, none)
+        .groupBy(F.col("candidate_id").alias("id"))
+        .agg(F.min(F.struct("text", F.col("job_id").isNull(), "job_id")).alias("r"))
+        .select("id", "r.text", "r.job_id")
+    )
+    furniture = furniture_of_blocks(blocks, headers, keyed).groupBy("id").agg(F.collect_set("at").alias("without"))  # four at most
+    freed = blocks.join(furniture, "id", "left").select(
+        F.lit("block"), "id", F.lit(None).cast("int"), F.lit(0),
+        F.filter(F.split("text", "\n"), lambda x, k: ~F.coalesce(F.array_contains("without", k), F.lit(False))).alias("lines"),
     )
-    return pages.unionAll(loose).unionAll(blocks)
+    return pages.unionAll(loose).unionAll(freed.select("*", longest, none))
 
 
 def paragraphs(alignments: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(source, rec_id, page, part, par_no, text): every page, block and loose line repaired and reflowed to paragraphs."""
+    """(source, rec_id, page, part, par_no, text, ends): every page, block and loose line repaired and reflowed.
+
+    What a part of a page has of each paragraph is one row; ``ends`` as in ``reflowed``. Parts without an open question
+    are reflowed where they are read, only the others meet the answers.
+    """
     counts = corpus_counts(
         alignments.where(F.col("pdf_text").isNotNull()).select(F.col("pdf_text").alias("text"))
         .unionAll(candidates.where(F.col("text").isNotNull()).select("text"))
     )
     vocabulary = alignments.sparkSession.sparkContext.broadcast(frequent_part(counts))
-    at = ["source", "rec_id", "page", "part"]
-    parts = checkpointed(_text_parts(alignments, candidates))
+    at, pieces = ["source", "rec_id", "page", "part"], ["par_no", "text", "ends"]
+    columns = "source string, rec_id string, page int, part int, par_no int, text string, ends string"
+    question = ", ".join(f"{c}: string" for c in _QUESTION)
+
+    def cut(b: pa.RecordBatch, made: list[list[tuple[str, str]]]) -> list[pa.Array]:
+        rows = pa.array([n for n, m in enumerate(made) for _ in m], pa.int64())
+        return [
+            *(b.column(k).take(rows) for k in range(4)),
+            pa.array([k for m in made for k in range(1, len(m) + 1)], pa.int32()),
+            *(pa.array([x[k] for m in made for x in m], pa.string()) for k in range(2)),
+        ]
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = _loaded(vocabulary)
+        for b in batches:
+            made, asked, kept = [], [], []
+            for lines, longest, after in zip(*(b.column(k).to_pylist() for k in range(4, 7))):
+                own = {q for x, y in zip(lines, [*lines[1:], after]) if (q := broken_end(x, y)) is not None}
+                for x in lines:
+                    own |= v.open_questions(x)
+                made.append([("", "")] if own else reflowed(v, lines, {}, longest or 0, after, after is not None))
+                kept += [(lines, longest, after)] if own else [(None, None, None)] * len(made[-1])
+                asked += [[dict(zip(_QUESTION, q)) for q in own]] if own else [None] * len(made[-1])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *cut(b, made),
+                    *(pa.array([x[k] for x in kept], t) for k, t in enumerate((pa.list_(pa.string()), pa.int32(), pa.string()))),
+                    pa.array(asked, pa.list_(pa.struct([(c, pa.string()) for c in _QUESTION]))),
+                ],
+                names=[*at, *pieces, "lines", "longest", "after", "asked"],
+            )
+
+    looked = checkpointed(
+        _text_parts(alignments, candidates).mapInArrow(look, f"{columns}, lines array<string>, longest int, after string, asked array<struct<{question}>>")
+    )
+    parts = looked.where(F.col("asked").isNotNull()).select(*at, "lines", "longest", "after", "asked")
+    whole = looked.where(F.col("asked").isNull())
+
+    # what follows a page that ends with a hyphen: few of them, and one word of each part
+    in_job = Window.partitionBy("rec_id").orderBy("page", "part")
+    of_pages = F.col("source") == "page"
+    begins = lambda x: F.regexp_extract(x, "(?U)^\\s*([A-Za-zÀ-ÖØ-öø-ɏ0-9]+|\\S)", 1).alias("begins")
+    ended = F.when(F.col("after").isNull() & F.element_at("lines", -1).rlike("(?U)[-‐‑]\\s*$"), F.element_at("lines", -1)).alias("last")
+    beside = checkpointed(
+        parts.where(of_pages).select("rec_id", "page", "part", begins(F.element_at("lines", 1)), ended)
+        .unionAll(whole.where(of_pages & (F.col("par_no") == 1)).select("rec_id", "page", "part", begins("text"), F.lit(None)))
+        .withColumn("next", F.lead("begins").over(in_job))
+        .where(F.col("last").isNotNull())
+        .select(F.lit("page").alias("source"), "rec_id", "page", "part", "last", "next")
+    )
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = _loaded(vocabulary)
         for b in batches:
-            rows, asked = [], []
-            for n, (lines, before, after) in enumerate(zip(*(b.column(k).to_pylist() for k in range(4, 7)))):
-                own: set = set()
-                ring = [*([before] if before is not None else []), *lines, after]
-                own |= {q for x, y in zip(ring, ring[1:]) if x is not None and (q := broken_end(x, y)) is not None}
-                for x in ring:
-                    if x is not None:
-                        own |= v.open_questions(x)
-                rows += [n] * len(own)
-                asked += own
+            found = [(n, q) for n, x in enumerate(zip(b.column(4).to_pylist(), b.column(5).to_pylist())) if (q := broken_end(*x)) is not None]
+            rows = pa.array([n for n, _ in found], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(k).take(pa.array(rows, pa.int64())) for k in range(4)), *(pa.array([q[k] for q in asked], pa.string()) for k in range(4))],
+                [*(b.column(k).take(rows) for k in range(4)), *(pa.array([q[k] for _, q in found], pa.string()) for k in range(4))],
                 names=[*at, *_QUESTION],
             )
 
-    kinds = "source string, rec_id string, page int, part int, "
-    asked = checkpointed(parts.mapInArrow(ask, kinds + ", ".join(f"{c} string" for c in _QUESTION)))
+    asked = parts.select(*at, F.explode("asked").alias("q")).select(*at, "q.*").unionAll(
+        beside.mapInArrow(ask, "source string, rec_id string, page int, part int, " + question.replace(":", ""))
+    )
     known = (
         salted_join(asked, answers(asked, counts), _QUESTION, F.xxhash64("rec_id", "page"), "inner")
+        .select(*at, F.struct(*_QUESTION, "answer").alias("known"), F.lit(None).cast("string").alias("next"))
+        .unionAll(beside.select(*at, F.lit(None), "next"))
         .withColumn("page", F.coalesce("page", F.lit(-1)))
         .groupBy(*at)
-        .agg(F.collect_list(F.struct(*_QUESTION, "answer")).alias("known"))  # no more than the part has symbols
+        .agg(F.collect_list("known").alias("known"), F.max("next").alias("next"))  # no more answers than the part has symbols
     )
     joined = parts.withColumn("key", F.coalesce("page", F.lit(-1))).join(
         known.withColumnRenamed("page", "key"), ["source", "rec_id", "key", "part"], "left"
-    ).select(*at, "lines", "before", "after", "known")
+    ).select(*at, "lines", "longest", "after", "next", "known")
 
     def flow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _loaded(vocabulary)
         for b in batches:
             made = []
-            for lines, before, after, found in zip(*(b.column(k).to_pylist() for k in range(4, 8))):
+            for lines, longest, after, following, found in zip(*(b.column(k).to_pylist() for k in range(4, 9))):
                 answer = {tuple(r[c] for c in _QUESTION): r["answer"] for r in found or ()}
-                made.append(reflowed(v, lines, answer, before, after))
-            rows = pa.array([n for n, m in enumerate(made) for _ in m], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(k).take(rows) for k in range(4)), pa.array([k for m in made for k in range(1, len(m) + 1)], pa.int32()), pa.array([t for m in made for t in m], pa.string())],
-                names=[*at, "par_no", "text"],
-            )
+                made.append(reflowed(v, lines, answer, longest or 0, following if after is None else after, after is not None))
+            yield pa.RecordBatch.from_arrays(cut(b, made), names=[*at, *pieces])
+
+    return whole.select(*at, *pieces).unionAll(checkpointed(joined.mapInArrow(flow, columns)))
+
+
+def whole_paragraphs(alignments: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(source, rec_id, page, part, par_no, text): the paragraphs whole, over all pages and parts of a job that they run
+    on, each where it begins. A block or loose line runs on nowhere."""
+    pieces = paragraphs(alignments, candidates)
+    of_page = F.col("source") == "page"
+    # one short row a part: how many pieces it has and whether the last one runs on, as no other can
+    in_job = Window.partitionBy("rec_id").orderBy("page", "part")
+    heads = (
+        pieces.where(of_page & (F.col("ends") != "paragraph"))
+        .select("rec_id", "page", "part", F.col("par_no").alias("n"), (F.col("ends") != "lines").alias("runs_on"))
+        .withColumn("continued", F.coalesce(F.lag("runs_on").over(in_job), F.lit(False)))
+        .withColumn("begun", F.when(~F.col("continued") | (F.col("n") > 1), F.struct("page", "part", F.col("n").alias("par_no"))))
+        .withColumn("head", F.last("begun", ignorenulls=True).over(in_job.rowsBetween(Window.unboundedPreceding, -1)))
+        .where("continued")
+        .select("rec_id", "page", "part", F.lit(1).alias("par_no"), "head")
+    )
+    alone = ~of_page | (F.col("par_no") > 1) & F.col("ends").isin("paragraph", "lines")
+    linked = pieces.where(~alone).join(heads, ["rec_id", "page", "part", "par_no"], "left")
+    whole = linked.groupBy("rec_id", F.coalesce("head", F.struct("page", "part", "par_no")).alias("head")).agg(
+        F.array_sort(F.collect_list(F.struct("page", "part", "par_no", "text", "ends"))).alias("run")  # one paragraph
+    )
+
+    def with_gap(x, k):
+        before = F.get("run", k - 1)
+        latin = (F.right(before["text"], F.lit(1)) < LATIN_END) & ~before["text"].endswith("-") & (F.left(x["text"], F.lit(1)) < LATIN_END)
+        return F.concat(F.when((before["ends"] != "word") & latin, " ").otherwise(""), x["text"])
 
-    return joined.mapInArrow(flow, kinds + "par_no int, text string")
+    columns = ["source", "rec_id", "page", "part", "par_no", "text"]
+    return pieces.where(alone).select(*columns).unionAll(
+        whole.select(F.lit("page"), "rec_id", "head.*", F.array_join(F.transform("run", with_gap), ""))
+    )

@@ -151,3 +151,55 @@ def test_parts_of_a_page_share_no_broken_word(spark, monkeypatch):
     text = lambda rows, page: "".join(r.text.replace(" ", "") for r in sorted(rows, key=lambda r: (r.part, r.par_no)) if r.page == page)
     assert all(text(whole, p) == text(cut, p) for p in (1, 2, 3)) and len(cut) > len(whole)
     assert [r.text for r in whole if r.source == "line"] == ["loose line"]
+
+
+def _over_pages():
+    """A job whose text runs over its pages, once within a word, with furniture between."""
+    head = "内部编号 LB-77 受控文件"
+    pages = [
+        ["Store the oat biscuits below 5 C, and keep the seal"],
+        ["dry until opening. The cold-pressed statement moved", "under the oat biscuits and keep the seal. Our statem-"],
+        [],
+        ["ent moved.", "产品标准代号与保质期两项存在混用的情况，共"],
+        ["12条。", "Store the oat biscuits below 5 C, and keep the seal dry."],
+        ["The cold-pressed statement moved", "710 g"],
+        ["under the oat biscuits."],
+    ]
+    data = []
+    for p, body in enumerate(pages, 1):
+        for n, t in enumerate([head, *body, f"- {p} -"], 1):
+            data.append((f"a{p}{n}", None, "j", p, n, None, t, None, None, None))
+    return data + [(f"z{n}{m}", None, f"k{n}", 1, m, b, b, None, None, None) for n in range(30) for m, b in enumerate(BODY)]
+
+
+def test_paragraphs_run_over_pages(spark, monkeypatch):
+    al, ca = spark.createDataFrame(_over_pages(), A), spark.createDataFrame([], C)
+    want = [
+        (1, 1, "Store the oat biscuits below 5 C, and keep the seal dry until opening. The cold-pressed statement moved under the oat biscuits and keep the seal. Our statement moved."),
+        (4, 2, "产品标准代号与保质期两项存在混用的情况，共12条。"),
+        (5, 2, "Store the oat biscuits below 5 C, and keep the seal dry."),
+        (6, 1, "The cold-pressed statement moved 710 g"),
+        (7, 1, "under the oat biscuits."),
+    ]
+    pages = lambda: sorted((r.page, r.par_no, r.text) for r in scans.whole_paragraphs(al, ca).collect() if r.rec_id == "j")
+    assert pages() == want
+    monkeypatch.setattr(scans, "PART_LINES", 1)
+    assert [x[2] for x in pages()] == [x[2] for x in want]
+
+
+def test_blocks_lose_their_furniture(spark):
+    al = spark.createDataFrame(_over_pages(), A)
+    head = "内部编号 LB-77 受控文件"
+    blocks = {
+        "c1": f"{head}\n{BODY[0]}\n{BODY[1]}", "c2": f"- 1 -\n{head}  P2\n{BODY[2]}", "c3": f"{BODY[2]}\n· 5 ·", "c4": f"{BODY[2]}\n- 8 -",
+        "c5": f"{BODY[0]}\n{BODY[1]}\n{head}\n{BODY[1]}\n{BODY[0]}", "c6": f"{head}\n- 2 -", "c7": head,
+    }
+    ca = spark.createDataFrame([(i, "j", t, None) for i, t in blocks.items()] + [("c1", None, blocks["c1"], None), ("d1", None, blocks["c1"], None)], C)
+    got = {}
+    for r in sorted(scans.whole_paragraphs(al, ca).where("source = 'block'").collect(), key=lambda r: r.par_no):
+        got[r.rec_id] = got.get(r.rec_id, "") + r.text
+    assert got["c1"] == f"{BODY[0]} {BODY[1]}" and got["c2"] == got["c3"] == BODY[2]
+    # page 8 is none of the job's, a line in the midst of a block no header, one line no noise, another job's header a line
+    assert got["c4"] == BODY[2] + "- 8 -" and head in got["c5"] and "c6" not in got and got["c7"] == head and got["d1"].startswith(head)
+    noisy = {r.rec_id for r in scans.noisy_records(al, ca).where("noise_kind in ('running_header', 'page_number')").collect()}
+    assert noisy & set(blocks) == {"c1", "c2", "c3", "c6"}
